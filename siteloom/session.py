@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and continue from there, so a lost executor costs no rework upstream."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that they need no copy of it."""
+    context = spark.sparkContext
+    if getattr(context, "_siteloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="siteloom-")) / "siteloom.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted(root.rglob("*.py")):
+            file.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._siteloom_shipped = True
