@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from siteloom.session import spread, table
 
 #: Bound of the weakly labelled sample of values that the model is fitted on.
-SAMPLE = 30_000
+SAMPLE = 12_000
+#: Values that are tokenised at a time.
+CHUNK = 2_000
 #: Tokens of the windows: short residue inside a long text shows in a small window only.
 WINDOWS = (3, 6, 12)
 #: Longest n-gram, hash bits, share of hosts held out, rounds and L2 weight of the fit.
@@ -144,6 +146,8 @@ class ResidueModel:
 
     def scores(self, texts: list[str], title: bool) -> np.ndarray:
         """Best window score of every cleaned text; minus infinity for blank ones."""
+        if len(texts) > CHUNK:
+            return np.concatenate([self.scores(texts[i : i + CHUNK], title) for i in range(0, len(texts), CHUNK)])
         if not texts:
             return np.zeros(0)
         t = tokens_of(texts)
@@ -178,6 +182,10 @@ def _windows(texts: list[str], title: np.ndarray, bad: np.ndarray) -> tuple[np.n
     one that only touches a phrase is left out. Those of a short value whose page answered with an error
     are positive too.
     """
+    if len(texts) > CHUNK:
+        parts = [_windows(texts[i : i + CHUNK], title[i : i + CHUNK], bad[i : i + CHUNK]) for i in range(0, len(texts), CHUNK)]
+        owner = np.concatenate([p[3] + i * CHUNK for i, p in enumerate(parts)])
+        return (*(np.concatenate([p[k] for p in parts]) for k in range(3)), owner)
     t = tokens_of(texts)
     rows, labels, owners = [], [], []
     for v, text in enumerate(texts):
@@ -198,7 +206,7 @@ def _windows(texts: list[str], title: np.ndarray, bad: np.ndarray) -> tuple[np.n
                 owners.append(v)
     spans_, owner = np.array(rows, np.int64).reshape(-1, 2), np.array(owners, np.int64)
     place = spans_[:, :1] + np.arange(WINDOWS[-1])
-    ids = np.where((place < spans_[:, 1:])[:, :, None], t.ids[np.minimum(place, max(len(t.ids) - 1, 0))], 0).reshape(len(spans_), -1)
+    ids = np.where((place < spans_[:, 1:])[:, :, None], t.ids[np.minimum(place, max(len(t.ids) - 1, 0))], np.int32(0)).reshape(len(spans_), -1)
     return ids, _extra(spans_[:, 1] - spans_[:, 0], (t.stops - t.starts)[owner], title[owner]), np.array(labels), owner
 
 
@@ -209,7 +217,7 @@ def _solve(ids: np.ndarray, extra: np.ndarray, labels: np.ndarray) -> tuple[np.n
     balance = np.where(labels > 0, max(1.0, 0.2 * len(labels) / max(1.0, labels.sum())), 1.0) / max(1, len(labels))
     # Only hashes that occur are updated.
     used, inverse = np.unique(ids, return_inverse=True)
-    inverse = inverse.reshape(ids.shape)
+    inverse = inverse.reshape(ids.shape).astype(np.int32)
     local, local_sums = np.zeros(len(used)), sums[used]
     for _ in range(ROUNDS):
         margin = local[inverse].sum(axis=1) + bias[extra]
@@ -257,6 +265,9 @@ def host_of(url: Column) -> Column:
 def training_sample(values: DataFrame, *, size: int = SAMPLE) -> pd.DataFrame:
     """A bounded sample of ``values`` (``text``, ``title``, ``host``, ``bad``), even over hash order, not file order."""
     kept = values.filter(F.length(F.trim("text")) > 0).withColumn("_order", F.xxhash64("text", "host"))
+    # A share by hash first, so that not every partition sends a whole sample to the driver.
+    share = min(1.0, 1.3 * size / max(1, kept.count()))
+    kept = kept.filter(F.pmod("_order", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     return kept.orderBy("_order", "text", "title", "bad", "host").limit(size).drop("_order").toPandas()
 
 
