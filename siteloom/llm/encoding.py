@@ -105,25 +105,35 @@ def undo_one_byte(text: str, read: str, written: str) -> str:
     return _WORD.sub(decode, text)
 
 
+#: The name of every chain, and its place in the order in which equal ones are tried.
+CHAINS = ["+".join([e] * n) for n in range(1, DEPTH + 1) for e in WRONG] + [f"{written}>{read}" for read, written in ONE_BYTE]
+ORDER = {name: k for k, name in enumerate(CHAINS)}
+
+
+def undo(text: str, chain: str) -> str:
+    """``text`` before ``chain``."""
+    if ">" in chain:
+        written, read = chain.split(">")
+        return undo_one_byte(text, read, written)
+    for encoding in chain.split("+"):
+        text = undo_utf8(text, encoding)
+    return text
+
+
 def rebuilt(text: str) -> dict[str, str]:
-    """The text before every chain that could have made ``text``, one chain for each outcome."""
+    """The text before every chain that could have made ``text``."""
     found: dict[str, str] = {}
-    seen = {text}
     for encoding in WRONG:
         name, undone = "", text
         for _ in range(DEPTH):
-            before = undone
-            undone = undo_utf8(undone, encoding)
+            before, undone = undone, undo_utf8(undone, encoding)
             if undone == before:
                 break
             name += ("+" if name else "") + encoding
-            if undone not in seen:
-                seen.add(undone)
-                found[name] = undone
+            found[name] = undone
     for read, written in ONE_BYTE:
         undone = undo_one_byte(text, read, written)
-        if undone not in seen:
-            seen.add(undone)
+        if undone != text:
             found[f"{written}>{read}"] = undone
     return found
 
@@ -180,29 +190,62 @@ def count_pairs(texts: DataFrame) -> PairModel:
     return PairModel(*arrays)
 
 
-def evidence(text: str | None, model: PairModel) -> tuple[str, list[str], list[str]] | None:
-    """What speaks for each chain: a signature of whole nats, the chains and the rebuilt texts, best first.
+#: Words by shape that a worker remembers; only speed depends on it.
+REMEMBERED = 200_000
+_SHAPES = str.maketrans(
+    {c: "a" if 97 <= c <= 122 else "A" if 65 <= c <= 90 else "0" if 48 <= c <= 57 else " " if c <= 32 else "." for c in range(128)}
+)
+_RUNS = re.compile(r"(a|A|0|\.)\1{2,}")
+
 
-    None for a value that no chain could have made. A value with replacement characters has lost text.
+class Evidence:
+    """What speaks for each chain of a value.
+
+    Chains change only the words with characters beyond ASCII, and the model sees ASCII characters by
+    class; so the gain of a chain is a sum over such words, and words of one shape gain alike.
     """
-    if not text or text.isascii():
-        return None
-    lost = LOST in text
-    found = []
-    candidates = rebuilt(text)
-    if candidates:
-        # Letters of another script may also be look-alikes; that explains a value as well as it can.
-        plain = unify(text)
-        base = model.score(text) if plain == text else max(model.score(text), model.score(plain))
-        for name, undone in candidates.items():
-            gain = model.score(undone) - base
-            if gain > LOW:
-                found.append((-gain, name, undone))
-        found = sorted(found)[:KEPT]
-    if not found and not lost:
-        return None
-    signature = ("lost " if lost else "") + " ".join(f"{name}:{int(np.clip(np.floor(-gain), LOW, HIGH))}" for gain, name, _ in found)
-    return signature.strip(), [name for _, name, _ in found], [undone for *_, undone in found]
+
+    def __init__(self, model: PairModel) -> None:
+        self.model, self._shapes = model, {}
+
+    def _gains(self, word: str) -> dict[str, float]:
+        shape = _RUNS.sub(r"\1\1", word.translate(_SHAPES))
+        found = self._shapes.get(shape)
+        if found is None:
+            # Letters of another script may also be look-alikes; that explains a word as well as it can.
+            plain = unify(shape)
+            base = self.model.score(shape) if plain == shape else max(self.model.score(shape), self.model.score(plain))
+            found = {name: self.model.score(undone) - base for name, undone in rebuilt(shape).items()}
+            if len(self._shapes) >= REMEMBERED:
+                self._shapes.clear()
+            self._shapes[shape] = found
+        return found
+
+    def __call__(self, text: str | None) -> tuple[str, list[str], list[str]] | None:
+        """A signature of whole nats, the chains and the rebuilt texts, best first.
+
+        None for a value that no chain could have made. A value with replacement characters has lost text.
+        """
+        if not text or text.isascii():
+            return None
+        gains: dict[str, float] = {}
+        for word in re.split(r"[\x00-\x20]+", text):
+            if not word.isascii():
+                for name, gain in self._gains(word).items():
+                    gains[name] = gains.get(name, 0.0) + gain
+        lost = LOST in text
+        gains = {name: gain for name, gain in gains.items() if gain > LOW}
+        if not gains and not lost:
+            return None
+        texts: dict[str, str] = {}
+        for name in sorted(gains, key=lambda c: (-gains[c], ORDER[c])):
+            undone = undo(text, name)
+            if len(texts) < KEPT and undone != text and undone not in texts.values():
+                texts[name] = undone
+        if not texts and not lost:
+            return None
+        signature = ("lost " if lost else "") + " ".join(f"{c}:{int(np.clip(np.floor(gains[c]), LOW, HIGH))}" for c in texts)
+        return signature.strip(), list(texts), list(texts.values())
 
 
 def _parse(signature: str) -> tuple[bool, list[tuple[str, float]]]:
@@ -257,9 +300,9 @@ def find_garbled(values: DataFrame) -> DataFrame:
 
     @F.pandas_udf("signature string, chains array<string>, texts array<string>")
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        held = model.value
+        evidence = Evidence(model.value)
         for texts in batches:
-            rows = [evidence(t, held) or (None, None, None) for t in texts]
+            rows = [evidence(t) or (None, None, None) for t in texts]
             yield pd.DataFrame(rows, columns=["signature", "chains", "texts"], index=texts.index)
 
     suspects = values.filter(F.col("text").rlike(r"[^\x00-\x7f]")).withColumn("e", weigh("text")).filter("e.signature IS NOT NULL")
