@@ -15,6 +15,7 @@ from siteloom.functions import columns as C
 from siteloom.functions.hosts import identify
 from siteloom.functions.identity import fold
 from siteloom.functions.rules import Rejected
+from siteloom.session import cut_lineage
 
 VALUES = ("domain", "language", "page_type", "country", "city")
 FLAGS = {"has_email": "emails", "has_phone": "phones", "has_social_profile": "social_profiles"}
@@ -171,10 +172,31 @@ class LeadPage:
         return self.page > 1 and self.total > 0
 
 
+#: Rows before a page from which it is found by counting sorted partitions instead of keeping all rows before it.
+DEEP = 100_000
+
+
 def paginate(leads: DataFrame, page: int = 1, page_size: int = PAGE_SIZE, by: str = "domain", descending: bool = False) -> DataFrame:
-    """The rows of one page in order; empty beyond the end. Only a page's worth of rows is kept by each task."""
+    """The rows of one page in order; empty beyond the end.
+
+    Near the beginning each task keeps only the rows up to the page. Deep pages are taken from a sorted
+    copy in the shared folder, by the number of rows in the partitions before.
+    """
     page, page_size = _positive("page", page), _positive("page_size", page_size, MOST_ROWS)
-    return sort_leads(leads, by, descending).offset((page - 1) * page_size).limit(page_size)
+    before = (page - 1) * page_size
+    if before <= DEEP:
+        return sort_leads(leads, by, descending).offset(before).limit(page_size)
+    order = order_by(by, descending)
+    numbered = cut_lineage(leads.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    place, part = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("_id", 33)
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()  # one row for each partition
+    wanted, start = F.lit(False), 0
+    for row in counts:
+        low, high = max(before - start, 0), before + page_size - start
+        if low < row["n"] and high > 0:
+            wanted = wanted | ((part == row["_part"]) & (place >= low) & (place < high))
+        start += row["n"]
+    return numbered.filter(wanted).drop("_id").orderBy(*order)
 
 
 @dataclass(frozen=True)

@@ -55,17 +55,19 @@ class LeadTable:
 
 
 def merge_stream(
-    sightings: DataFrame, table: LeadTable, checkpoint: str, *, sequence: str = "seq", quarantine: str | None = None, observer: Observer | None = None, once: bool = True
+    sightings: DataFrame, table: LeadTable, checkpoint: str, *, sequence: str = "seq", quarantine: str | None = None, observer: Observer | None = None, once: bool = True, validate: bool = True
 ) -> StreamingQuery:
     """Merge a stream of page leads into ``table``: what is stored stays, open fields are filled.
 
     A micro-batch is the unit that is applied or not; after a failure it is applied again with the same
     number and changes nothing twice. Rows with problems go to ``quarantine``. ``sequence`` is the order of
-    arrival, so the result equals the fold of all rows in that order if batches come in order.
+    arrival, so the result equals the fold of all rows in that order if batches come in order. Rows that
+    were checked before come in with ``validate=False``.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        judged = problems(complete(batch)).persist()
+        rows = complete(batch)
+        judged = problems(rows).persist() if validate else rows.withColumn("problems", F.array().cast("array<string>"))
         try:
             if quarantine:
                 bad = judged.filter("size(problems) > 0")
