@@ -39,8 +39,9 @@ def from_sightings(rows: DataFrame, *, extra_suffixes: frozenset[str] = frozense
     rows = complete(rows)
     who = C.website_identity("website", extra=extra_suffixes)
     named = rows.withColumn("_who", who).filter("_who IS NOT NULL")
-    emails = F.flatten(F.transform("emails", lambda e: C.emails_in(F.trim(e))))
-    exact = F.filter(emails, lambda e: F.exists("emails", lambda raw: F.lower(F.trim(raw)) == e))
+    stored = F.filter("emails", lambda e: e.isNotNull())
+    emails = F.flatten(F.transform(stored, lambda e: C.emails_in(F.trim(e))))
+    exact = F.filter(emails, lambda e: F.exists(stored, lambda raw: F.lower(F.trim(raw)) == e))
     page_type = F.lower(F.trim("page_type"))
     return named.select(
         F.col("_who.domain").alias("domain"),

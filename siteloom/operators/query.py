@@ -106,13 +106,13 @@ class LeadFilter:
         return LeadFilter(**both)
 
     def column(self) -> Column:
-        """The criteria as one condition; cheap ones first, and pushed to the scan where they can be."""
+        """The criteria as one condition, null or false where unfulfilled; cheap ones first, pushed to the scan where they can be."""
         if self.never:
             return F.lit(False)
         held = F.lit(True)
         for name in ("domain", "page_type"):
             if getattr(self, name) is not None:
-                held = held & F.coalesce(F.col(name).isin(*getattr(self, name)), F.lit(False))
+                held = held & F.col(name).isin(*getattr(self, name))
         for name, array in FLAGS.items():
             wanted = getattr(self, name)
             if wanted is not None:
