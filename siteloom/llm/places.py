@@ -100,7 +100,7 @@ def slips(a: str, b: str, most: int) -> int:
         if min(row) > most:
             return most + 1
         older, old = old, row
-    return old[-1]
+    return min(old[-1], most + 1)
 
 
 def _bucket(token: str) -> int:
@@ -170,9 +170,13 @@ class Reference:
         best: tuple[float, int, tuple[int, ...]] | None = None
         for words in variants_of(value):
             text, ordered = " ".join(words), " ".join(sorted(words))
-            for similarity, k in self.candidates(pairs_of(words))[:8]:
+            pairs, allowed = pairs_of(words), 1 if len(text) < 10 else 2
+            for similarity, k in self.candidates(pairs):
                 entry = self.entries[k]
-                allowed = 1 if len(text) < 10 else 2
+                shared = round(similarity / (1 + similarity) * (len(pairs) + len(entry.pairs)))
+                # A slip changes up to three pairs, so entries that share fewer are further away.
+                if shared < max(len(pairs), len(entry.pairs)) - 3 * allowed:
+                    continue
                 apart = 0 if similarity == 1 else min(slips(text, " ".join(entry.words), allowed), slips(ordered, " ".join(sorted(entry.words)), allowed))
                 if apart <= allowed and (best is None or (-apart, similarity) > (-best[1], best[0])):
                     best = (similarity, apart, entry.ids)

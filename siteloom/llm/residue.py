@@ -53,7 +53,8 @@ PHRASES = (
     r"\b(?:insert|enter|add|type|write) (?:your|a|meta|an) (?:short )?(?:tagline|description|text|paragraph|title|meta description)",
     r"\benter meta description", r"\byour (?:description|tagline|text|title) here", r"\bclick here to edit", r"^todo\b", r"\btodo:",
     r"hier beschreibung eingeben", r"توضیحات سایت را اینجا", r"\buntitled(?:[ -](?:\d+|document|page))", r"\bdefault web ?site page",
-    r"\btest page for the", r"\bfuture home of", r"\bdomain is parked", r"\bindex of /", r"^(?:null|nan|undefined|array|none|untitled)$",
+    r"\btest page for the", r"\bfuture home of", r"\bdomain is parked", r"\bindex of /",
+    r"\bjust another wordpress site", r"\bwelcome to wordpress\. this is your first post", r"^(?:null|nan|undefined|array|none|untitled)$",
     r"\bundefined - undefined", r"\baccount has been suspended", r"\bsite is down for", r"\bscheduled maintenance, please",
     r"\b(?:error )?[45]\d\d\s*(?:-|–|:|\()?\s*(?:not found|forbidden|bad gateway|gateway time-?out|internal server error|service (?:temporarily )?unavailable|file or directory|page not found|unauthorized)",
     r"\b(?:page|file|directory) not found", r"\b(?:http|error|erreur|fehler|خطای) [45]\d\d\b", r"\bunknown error from origin",
@@ -206,7 +207,7 @@ def _windows(texts: list[str], title: np.ndarray, bad: np.ndarray) -> tuple[np.n
                 owners.append(v)
     spans_, owner = np.array(rows, np.int64).reshape(-1, 2), np.array(owners, np.int64)
     place = spans_[:, :1] + np.arange(WINDOWS[-1])
-    ids = np.where((place < spans_[:, 1:])[:, :, None], t.ids[np.minimum(place, max(len(t.ids) - 1, 0))], np.int32(0)).reshape(len(spans_), -1)
+    ids = np.where((place < spans_[:, 1:])[:, :, None], t.ids[np.minimum(place, max(len(t.ids) - 1, 0))], np.int32(0)).reshape(len(spans_), WINDOWS[-1] * ORDERS)
     return ids, _extra(spans_[:, 1] - spans_[:, 0], (t.stops - t.starts)[owner], title[owner]), np.array(labels), owner
 
 
