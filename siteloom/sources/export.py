@@ -137,3 +137,25 @@ def write_bulk(leads: DataFrame, path: str, kind: str = "json") -> None:
         complete(leads).select(*JSON_KEYS).write.option("ignoreNullFields", "false").json(path)
     else:
         export_rows(leads).write.option("header", "true").csv(path)
+
+
+def lead_json(leads: DataFrame, column: str = "json") -> DataFrame:
+    """``leads`` with each lead as a JSON object of fixed keys, nulls included; no driver, no Python."""
+    held = complete(leads).withColumn(column, F.to_json(F.struct(*JSON_KEYS), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}))
+    return held.select(*leads.columns, column) if column not in leads.columns else held.select(*leads.columns)
+
+
+def read_json(texts: DataFrame, column: str = "json", *, strict: bool = True) -> DataFrame:
+    """Leads of a column of JSON objects.
+
+    A text that is no object, or has unknown keys or no website, is an error if ``strict``, and left out
+    otherwise. Null texts are left out.
+    """
+    text = F.col(column)
+    unknown = F.array_except(F.json_object_keys(text), F.array(*(F.lit(k) for k in JSON_KEYS)))
+    lead = F.from_json(text, schemas.LEAD)
+    fault = F.when(unknown.isNull() | lead.isNull(), F.lit("not a JSON object")).when(F.size(unknown) > 0, F.concat(F.lit("unknown fields: "), F.array_join(unknown, ", ")))
+    fault = fault.when(F.coalesce(F.trim(lead["website"]), F.lit("")) == "", F.lit("website is required"))
+    held = texts.filter(text.isNotNull()).select(lead.alias("_lead"), fault.alias("_fault"))
+    kept = held.filter(F.when(F.col("_fault").isNotNull(), F.raise_error(F.col("_fault")).cast("boolean")).otherwise(True)) if strict else held.filter("_fault IS NULL")
+    return kept.select("_lead.*")

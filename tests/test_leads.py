@@ -217,3 +217,17 @@ def test_bulk_export_round_trip(spark, frame, tmp_path):
     assert back.filter("domain = 'acme.example'").first().emails == ["b@acme.example"]
     export.write_bulk(frame(HOME), str(tmp_path / "c"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["phones"] == "1234567"
+
+
+def test_leads_as_json_objects(spark, frame):
+    texts = export.lead_json(frame(HOME, OTHER))
+    back = export.read_json(texts)
+    assert {r.domain: (r.business_name, r.emails, r.first_seen) for r in back.collect()} == {
+        "acme.example": ("Acme", ["b@acme.example"], T[2].replace(tzinfo=None)),
+        "b.example": (None, [], None),
+    }
+    assert texts.filter("domain = 'b.example'").first().json.startswith('{"business_name":null,"website":"https://b.example/"')
+    bad = spark.createDataFrame([('{"website":"https://e.com/","colour":1}',), ("[1]",), ("{",), ("{}",), (None,)], "json string")
+    assert export.read_json(bad, strict=False).count() == 0
+    with pytest.raises(Exception, match="unknown fields: colour"):
+        export.read_json(bad.filter("json LIKE '%colour%'")).collect()
