@@ -347,7 +347,7 @@ def _normalise(parsed: DataFrame, rules: dict, words_only: bool = False) -> Data
         rows = [normalised(list(w), c, shared.value) for w, c in zip(words, city)]
         return pd.DataFrame(rows, columns=["core", "kinds", "city"], index=words.index)
 
-    done = parsed.withColumn("f", forms("words", "city"))
+    done = parsed.withColumn("f", forms.asNondeterministic()("words", "city"))
     if words_only:
         words = F.array_sort(F.array_distinct(F.concat(F.split("f.core", " "), F.when(F.size("f.kinds") == 1, F.col("f.kinds")).otherwise(F.filter("words", lambda w: ~F.array_contains(F.split("f.core", " "), w))))))
         return done.select("address_id", "number", words.alias("words"), F.col("f.city").alias("city"), "postal")

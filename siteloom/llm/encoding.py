@@ -305,7 +305,8 @@ def find_garbled(values: DataFrame) -> DataFrame:
             rows = [evidence(t) or (None, None, None) for t in texts]
             yield pd.DataFrame(rows, columns=["signature", "chains", "texts"], index=texts.index)
 
-    suspects = values.filter(F.col("text").rlike(r"[^\x00-\x7f]")).withColumn("e", weigh("text")).filter("e.signature IS NOT NULL")
+    # Marked so that the filter on the signature doesn't run the function a second time.
+    suspects = values.filter(F.col("text").rlike(r"[^\x00-\x7f]")).withColumn("e", weigh.asNondeterministic()("text")).filter("e.signature IS NOT NULL")
     columns = ["table_name", "row_id", "source", "field_name", "text", "e.signature", "e.chains", "e.texts"]
     suspects = cut_lineage(suspects.select(*columns).withColumn("source", F.coalesce("source", F.lit(""))))
 

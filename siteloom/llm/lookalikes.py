@@ -46,7 +46,8 @@ def find_lookalikes(values: DataFrame, garbled: DataFrame | None = None) -> Data
             yield texts.map(unify, na_action="ignore")
 
     foreign = values.filter(F.col("text").rlike(r"[^\x00-\x7f]"))
-    changed = foreign.withColumn("form", forms("text")).filter(F.col("form") != F.col("text"))
+    # Marked so that the filter on the form doesn't run the function a second time.
+    changed = foreign.withColumn("form", forms.asNondeterministic()("text")).filter(F.col("form") != F.col("text"))
     found = changed.select("table_name", "row_id", "field_name", "text", "form").distinct()
     if garbled is not None:
         keys = ["table_name", "row_id", "field_name"]
