@@ -269,33 +269,52 @@ def _deletions(text: Column) -> Column:
     return F.array_distinct(F.concat(shorter, F.array(F.xxhash64(text))))
 
 
+def _parts(city: Column) -> Column:
+    """Beginnings and ends of a city, one of which is the same in any city that ``alike`` accepts.
+
+    A slip leaves as many letters at the beginning or at the end as half of the shorter name has, so each
+    name has those of its own length and of one less. Names of twelve letters or more may have two slips;
+    if these are in the first and the last four letters, two letters between them are the same, moved by
+    one at most.
+    """
+    n = F.length(city)
+    ends = F.array(*(F.greatest(F.lit(0), F.least(F.lit(4), F.floor((n - k) / 2))).cast("int") for k in (1, 2)))
+    begun = F.transform(ends, lambda h: F.concat(F.lit("<"), F.substring(city, F.lit(1), h)))
+    ended = F.transform(ends, lambda h: F.concat(F.lit(">"), F.substring(city, n - h + 1, h)))
+    between = F.when(n > 11, F.array(*(F.concat(F.lit("="), F.substring(city, k, 2)) for k in (5, 6, 7)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(begun, ended, between))
+
+
+def alike(core_a: str, core_b: str, city_a: str, city_b: str, postal_a: str, postal_b: str) -> bool:
+    """Whether names of streets, cities and postal codes can be spellings of the same."""
+    same_code = bool(postal_a) and postal_a == postal_b
+    most = 2 if same_code or min(len(city_a), len(city_b)) > 11 else 1
+    near = (city_a == city_b or slips(city_a, city_b, 2) <= most) if city_a and city_b else same_code
+    return near and (core_a == core_b or len(core_a) > 3 and slips(core_a, core_b, 1) <= 1)
+
+
 def match(reps: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of different spellings that denote one location; ``a < b``.
 
-    Candidates share the number and two of street name, city and postal code, one of the names up to a
-    slip; each is then compared in full.
+    Candidates share the number, the street name up to a slip, and the postal code or a part of the city;
+    every pair that ``alike`` accepts is one. Each is then compared in full.
     """
     rows = reps.select("id", "number", "core", "kinds", "city", "postal")
     named, placed = F.length("city") > 0, F.length("postal") > 0
-    by_city = rows.filter(named).withColumn("key", F.explode(F.transform(_deletions(F.col("city")), lambda h: F.xxhash64(F.lit("A"), "number", "core", h))))
-    by_core = rows.filter(named).withColumn("key", F.explode(F.transform(_deletions(F.col("core")), lambda h: F.xxhash64(F.lit("B"), "number", "city", h))))
-    by_code = rows.filter(placed).withColumn("key", F.explode(F.transform(_deletions(F.col("core")), lambda h: F.xxhash64(F.lit("C"), "number", "postal", h))))
-    keyed = by_city.unionByName(by_core).unionByName(by_code)
+    names = F.explode(_deletions(F.col("core"))).alias("name")
+    by_city = rows.filter(named).select("*", names).select("*", F.explode(_parts(F.col("city"))).alias("part")).withColumn("key", F.xxhash64(F.lit("A"), "number", "part", "name"))
+    by_code = rows.filter(placed).select("*", names).withColumn("key", F.xxhash64(F.lit("C"), "number", "postal", "name"))
+    keyed = by_city.drop("name", "part").unionByName(by_code.drop("name"))
     a, b = keyed.alias("a"), keyed.alias("b")
     both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.number") == F.col("b.number")))
     fits = F.arrays_overlap("a.kinds", "b.kinds") | (F.size("a.kinds") == 0) | (F.size("b.kinds") == 0)
     pairs = both.filter(fits).select("a.id", *(F.col(f"{t}.{c}").alias(f"{c}_{t}") for t in "ab" for c in ("core", "city", "postal")), F.col("b.id").alias("other")).distinct()
 
     @F.pandas_udf("boolean")
-    def alike(core_a: pd.Series, core_b: pd.Series, city_a: pd.Series, city_b: pd.Series, postal_a: pd.Series, postal_b: pd.Series) -> pd.Series:
-        out = []
-        for sa, sb, ca, cb, pa, pb in zip(core_a, core_b, city_a, city_b, postal_a, postal_b):
-            same_code = bool(pa) and pa == pb
-            near = (ca == cb or slips(ca, cb, 2) <= (2 if same_code or min(len(ca), len(cb)) > 11 else 1)) if ca and cb else same_code
-            out.append(near and (sa == sb or len(sa) > 3 and slips(sa, sb, 1) <= 1))
-        return pd.Series(out)
-
-    good = pairs.filter(alike("core_a", "core_b", "city_a", "city_b", "postal_a", "postal_b"))
+    def compared(core_a: pd.Series, core_b: pd.Series, city_a: pd.Series, city_b: pd.Series, postal_a: pd.Series, postal_b: pd.Series) -> pd.Series:
+        return pd.Series([alike(*parts) for parts in zip(core_a, core_b, city_a, city_b, postal_a, postal_b)], dtype=bool)
+
+    good = pairs.filter(compared("core_a", "core_b", "city_a", "city_b", "postal_a", "postal_b"))
     return good.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
 
 
