@@ -2,14 +2,16 @@
 
 Rows are parsed into house number, street words, city and postal code. Rewrites are mined from pairs of
 rows that agree elsewhere and differ in one word: abbreviations whose pairing is statistically
-significant rewrite a word everywhere, slips of the pen rewrite one row's spelling into that of its
-neighbours. Rows are normalised again and matched again until no new rewrite appears.
+significant rewrite a word everywhere, until no new one appears; slips of the pen rewrite one row's street
+into the spelling of neighbours under its number and place, until no row changes. All spellings, given and
+rewritten, are then matched, so a rewrite only adds links.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ REGIONAL = frozenset("province prov county region state upper upr north south ea
 
 #: Value of the likelihood ratio from which a pair of words is significant (p < 0.001), and least places it is seen in.
 SIGNIFICANT, SUPPORT = 10.83, 2
-#: Rounds of mining and of joining spellings at most; both end when nothing changes.
-ROUNDS = 6
+#: Letters of the words of streets that two slips may tell apart under one number and place.
+TWICE = 7
 #: Buckets of word counts; most rewrites that reach the driver (they are abbreviations in use, not rows).
 BUCKETS, MOST_REWRITES = 1 << 16, 100_000
 
@@ -293,6 +295,72 @@ def alike(core_a: str, core_b: str, city_a: str, city_b: str, postal_a: str, pos
     return near and (core_a == core_b or len(core_a) > 3 and slips(core_a, core_b, 1) <= 1)
 
 
+def _thirds(core: Column) -> Column:
+    """Beginnings, ends and middle letters of a street, one of which is the same in any of at most two slips.
+
+    As in ``_parts``, for the lengths that the shorter of two such names can have.
+    """
+    n = F.length(core)
+    ends = F.array_distinct(F.array(*(F.greatest(F.lit(0), F.least(F.lit(4), F.floor((n - k) / 2))).cast("int") for k in (3, 4, 5))))
+    begun = F.transform(ends, lambda h: F.concat(F.lit("<"), F.substring(core, F.lit(1), h)))
+    ended = F.transform(ends, lambda h: F.concat(F.lit(">"), F.substring(core, n - h + 1, h)))
+    between = F.flatten(F.transform(ends, lambda h: F.transform(F.sequence(h + 1, h + 3), lambda k: F.concat(F.lit("="), h.cast("string"), F.substring(core, k, F.lit(1))))))
+    return F.array_distinct(F.concat(begun, ended, between))
+
+
+def one_word_apart(a: str, b: str) -> bool:
+    """Whether streets differ in one word, by a slip, or by two in a long word."""
+    x, y = Counter(a.split(" ")), Counter(b.split(" "))
+    left, right = list((x - y).elements()), list((y - x).elements())
+    if len(left) != 1 or len(right) != 1:
+        return False
+    shorter = min(len(left[0]), len(right[0]))
+    most = 2 if shorter >= TWICE else 1 if shorter > 3 else 0
+    return slips(left[0], right[0], 2) <= most
+
+
+def _fit() -> Column:
+    return F.arrays_overlap("a.kinds", "b.kinds") | (F.size("a.kinds") == 0) | (F.size("b.kinds") == 0)
+
+
+def respelled(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``reps`` with the spellings that rewrites make of them, and pairs ``(a, b)`` of a spelling and its rewrite.
+
+    A street is rewritten to one that differs in one word by slips, from a row that agrees on number, kind
+    and city or postal code and is written so more often under its number (if as often, comes first). So
+    every rewrite goes up in one order of spellings, and the rounds end.
+    """
+    often = reps.groupBy("number", "core").agg(F.sum("seen").alias("often"))
+    rows = cut_lineage(reps.select("id", "number", "core", "kinds", "city", "postal").join(often, ["number", "core"]))
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one_word_apart(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        place = F.explode(F.filter(F.array(F.concat(F.lit("c"), "city"), F.concat(F.lit("z"), "postal")), lambda x: F.length(x) > 1)).alias("place")
+        parts = df.select("*", place).select("*", F.explode(_thirds(F.col("core"))).alias("part"))
+        return parts.withColumn("key", F.xxhash64("number", "place", "part")).select("id", "number", "core", "kinds", "often", "place", "key")
+
+    known, edges, fresh = rows, None, rows
+    while True:
+        a, b = keyed(fresh).alias("a"), keyed(rows).alias("b")
+        better = (F.col("b.often") > F.col("a.often")) | ((F.col("b.often") == F.col("a.often")) & (F.col("b.core") < F.col("a.core")))
+        same = (F.col("a.key") == F.col("b.key")) & (F.col("a.number") == F.col("b.number")) & (F.col("a.place") == F.col("b.place"))
+        # A slip is at most two changes of single letters.
+        both = a.join(b, same & better & _fit()).filter("levenshtein(a.core, b.core, 4) >= 0")
+        pairs = both.select("a.id", F.col("a.core").alias("old"), F.col("b.core").alias("core"), F.col("b.often").alias("often")).distinct().filter(near("old", "core"))
+        best = pairs.groupBy("id").agg(F.min_by(F.struct("core", "often"), F.struct(-F.col("often"), "core")).alias("best"))
+        forms = fresh.drop("core", "often").join(best, "id").select(F.col("id").alias("a"), "number", "best.core", "kinds", "city", "postal", "best.often")
+        forms = cut_lineage(forms.withColumn("id", F.xxhash64("number", "core", "kinds", "city", "postal")))
+        made = forms.select("a", F.col("id").alias("b"))
+        edges = made if edges is None else edges.unionByName(made)
+        fresh = cut_lineage(forms.drop("a").dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti"))
+        if not fresh.limit(1).count():
+            return known.drop("often"), edges
+        known = cut_lineage(known.unionByName(fresh.select(known.columns)))
+
+
 def match(reps: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of different spellings that denote one location; ``a < b``.
 
@@ -307,8 +375,7 @@ def match(reps: DataFrame) -> DataFrame:
     keyed = by_city.drop("name", "part").unionByName(by_code.drop("name"))
     a, b = keyed.alias("a"), keyed.alias("b")
     both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.number") == F.col("b.number")))
-    fits = F.arrays_overlap("a.kinds", "b.kinds") | (F.size("a.kinds") == 0) | (F.size("b.kinds") == 0)
-    pairs = both.filter(fits).select("a.id", *(F.col(f"{t}.{c}").alias(f"{c}_{t}") for t in "ab" for c in ("core", "city", "postal")), F.col("b.id").alias("other")).distinct()
+    pairs = both.filter(_fit()).select("a.id", *(F.col(f"{t}.{c}").alias(f"{c}_{t}") for t in "ab" for c in ("core", "city", "postal")), F.col("b.id").alias("other")).distinct()
 
     @F.pandas_udf("boolean")
     def compared(core_a: pd.Series, core_b: pd.Series, city_a: pd.Series, city_b: pd.Series, postal_a: pd.Series, postal_b: pd.Series) -> pd.Series:
@@ -341,7 +408,7 @@ def locate(addresses: DataFrame, *, address_id: str = "address_id") -> DataFrame
     parsed = cut_lineage(parse_addresses(addresses, address_id).distinct())
     rules: dict[str, dict[str, list[str]]] = {"street": {}, "city": {}}
     rewritten = parsed
-    for _ in range(ROUNDS):
+    while True:
         mined = mine_rewrites(rewritten)
         merged = {f: {w: sorted({*rules[f].get(w, ()), *mined[f].get(w, ())}) for w in {*rules[f], *mined[f]}} for f in rules}
         if merged == rules:
@@ -351,8 +418,9 @@ def locate(addresses: DataFrame, *, address_id: str = "address_id") -> DataFrame
     forms = _normalise(parsed, rules)
     keys = ["number", "core", "kinds", "city", "postal"]
     members = cut_lineage(forms.withColumn("id", F.xxhash64(*keys)))
-    reps = members.select("id", *keys).dropDuplicates(["id"])
-    groups = components(match(reps))
+    reps = members.groupBy("id").agg(*(F.any_value(c).alias(c) for c in keys), F.count("*").alias("seen"))
+    spellings, rewrites = respelled(reps)
+    groups = components(match(spellings).unionByName(rewrites))
     joined = members.select("address_id", "id").join(groups, "id", "left")
     return joined.select("address_id", F.coalesce("location", "id").alias("location")).distinct()
 
