@@ -67,19 +67,27 @@ def follow_redirects(starts: DataFrame, hops: DataFrame, *, url: str = "url", lo
 
 
 def replay(
-    seeds: DataFrame, edges: DataFrame, *, max_depth: int, max_pages: int, rules: UrlRules = DEFAULT, as_of: date | None = None
+    seeds: DataFrame, edges: DataFrame, *, max_depth: int | None = None, max_pages: int | None = None, rules: UrlRules = DEFAULT, as_of: date | None = None
 ) -> DataFrame:
     """Breadth-first crawl over known links: ``(crawl_id, url, depth, parent_url, status)``.
 
     ``seeds`` has ``crawl_id`` and ``url``; ``edges`` has ``url``, ``position`` and ``href`` of fetched pages. Each
     level is one job whose frontier is written to the shared folder. Links are admitted in the order in
-    which a crawler meets them; those beyond ``max_pages`` are skipped but stay known.
+    which a crawler meets them; those beyond ``max_pages`` are skipped but stay known. Without ``max_depth`` or
+    ``max_pages`` each crawl has its own in that column of ``seeds``; null is no limit. It ends when no crawl
+    has pages to follow.
     """
+    own = {"max_depth": max_depth, "max_pages": max_pages}
+    limits = cut_lineage(seeds.select("crawl_id", *((F.col(c) if given is None else F.lit(given)).cast("long").alias(f"_{c}") for c, given in own.items())).distinct())
     level = seeds.select("crawl_id", "url", F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("seq"))
     level = level.withColumn("url", C.normal_url("url", rules=rules, default_scheme="https")).filter("url IS NOT NULL")
     known = cut_lineage(level.select("crawl_id", "url", "parent_url", F.lit(0).alias("depth"), F.lit("pending").alias("status"), F.col("seq").cast("long").alias("seq")))
-    frontier = known
-    for depth in range(1, max_depth + 1):
+    frontier, depth = known, 0
+    while True:
+        depth += 1
+        frontier = frontier.join(limits.filter(F.col("_max_depth").isNull() | (F.col("_max_depth") >= depth)).select("crawl_id"), "crawl_id", "left_semi")
+        if not frontier.limit(1).count():
+            break
         found = frontier.join(edges, "url").select(
             "crawl_id", F.col("url").alias("parent_url"), "href", F.struct("seq", "position").alias("_o")
         )
@@ -93,10 +101,10 @@ def replay(
         fresh = ordered.filter("_new = 1").join(decided.filter("allowed").select("crawl_id", F.col("seq").alias("_n"), "url"), ["crawl_id", "_n"])
         size = known.groupBy("crawl_id").agg(F.count("*").alias("_size"), F.max("seq").alias("_last"))
         rank = F.row_number().over(Window.partitionBy("crawl_id").orderBy("_n"))
-        added = fresh.join(size, "crawl_id").withColumn("_r", rank)
+        added = fresh.join(size, "crawl_id").join(limits, "crawl_id").withColumn("_r", rank)
         pages = added.select(
             "crawl_id", "url", "parent_url", F.lit(depth).alias("depth"),
-            F.when(F.col("_size") + F.col("_r") > max_pages, "skipped").otherwise("pending").alias("status"), (F.col("_last") + F.col("_r")).alias("seq"),
+            F.when(F.col("_size") + F.col("_r") > F.col("_max_pages"), "skipped").otherwise("pending").alias("status"), (F.col("_last") + F.col("_r")).alias("seq"),
         )
         pages = cut_lineage(pages)
         if not pages.limit(1).count():

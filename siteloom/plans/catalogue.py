@@ -364,11 +364,11 @@ def rate_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def crawl_bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breadth-first replay of all crawls over the links that their pages had."""
+    """Breadth-first replay of all crawls, each within its own limits, over the links that their pages had."""
     pages = _pages(spark, sf_dir, "crawl_id", "url", "parent_url")
     edges = pages.filter("parent_url IS NOT NULL").select(C.normal_url("parent_url").alias("url"), F.col("id").alias("position"), F.col("url").alias("href"))
-    seeds = _crawls(spark, sf_dir).select(F.col("id").alias("crawl_id"), F.col("seed_url").alias("url"))
-    return crawl.replay(seeds, edges.distinct(), max_depth=3, max_pages=100_000, as_of=AS_OF).select("crawl_id", "url", "depth", "status")
+    seeds = _crawls(spark, sf_dir).select(F.col("id").alias("crawl_id"), F.col("seed_url").alias("url"), "max_depth", "max_pages")
+    return crawl.replay(seeds, edges.distinct(), as_of=AS_OF).select("crawl_id", "url", "depth", "status")
 
 
 @_query()
