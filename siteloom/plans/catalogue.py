@@ -547,6 +547,26 @@ def lead_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.agg(F.count("*").alias("leads"), F.count(F.when(bad > 0, 1)).cast("int").alias("bad"))
 
 
+#: The checks of ``leads.problems`` that the columns of ``l`` can fail. Websites and domains of ``l`` come of one another, and the table has no profiles.
+_CHECKS_SQL = {
+    "website is required": "domain IS NULL OR domain = ''",
+    "invalid email address": "len(list_filter(emails, lambda x: NOT regexp_full_match(x, '[^@\\s]+@[^@\\s]+\\.[a-z]{2,24}'))) > 0",
+    "invalid phone number": "len(list_filter(phones, lambda x: NOT regexp_full_match(x.number, '\\+?[0-9]{5,15}'))) > 0",
+    "unknown page type": "page_type NOT IN ('homepage','about','contact','services','product','blog','article','portfolio','careers','other')",
+    "last_seen is earlier than first_seen": "last_seen < first_seen",
+}
+
+
+@_query(
+    f"WITH {LEADS_SQL}, f AS (" + " UNION ALL ".join(f"SELECT '{text}' AS problem, lead_id FROM l WHERE {bad}" for text, bad in _CHECKS_SQL.items()) + ")"
+    " SELECT problem, count(*) AS leads FROM f GROUP BY problem"
+)
+def lead_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of leads in normal form, none set aside, and how many leads have each."""
+    judged = leads.problems(_leads(spark, sf_dir))
+    return judged.select(F.explode("problems").alias("problem")).groupBy("problem").agg(F.count("*").alias("leads"))
+
+
 _FILTERED = f"WITH {LEADS_SQL}, {FOLD_SQL} SELECT domain FROM fold WHERE "
 
 
