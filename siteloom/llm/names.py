@@ -29,6 +29,8 @@ from siteloom.session import cut_lineage, spread, table
 THRESHOLD, COMMON = 0.25, 0.004
 #: Letters of an element of the sets.
 LETTERS = 4
+#: Most elements of a name that may share just one with another.
+MOST_SHORT = 4
 #: Names and pairs a worker remembers; only speed depends on it.
 REMEMBERED = 200_000
 #: A word is common only if it is in so many names, too; buckets of the rarity counts.
@@ -210,23 +212,38 @@ def _code(*parts: str) -> int:
     return (zlib.crc32(text) << 31) ^ zlib.crc32(text, 0x5BD1E995)
 
 
+def _run_together(words: tuple[str, ...]) -> set[str]:
+    """The letters in order, as words may be run together; without one that a slip can cost two words of five letters in all."""
+    whole = "".join(sorted("".join(words)))
+    joined = [y + z for y, z in combinations(words, 2) if _allowed(y + z) and len(y + z) == 5]
+    return {whole} | {whole.replace(c, "", 1) for w in joined for c in w}
+
+
 def keys_of(name: Name, rarity: np.ndarray, common: frozenset[str], known: bool) -> list[int]:
     """Join keys of a name. Names that are as similar as the threshold and don't differ in trade share one.
 
-    A pair of elements of the rare beginning makes a key. Words that allow no slip are a key as they are.
+    Between long names a pair of elements of the rare beginning makes a key, between names whose words
+    allow no slip their letters. Names of different kinds, and short ones, meet by single elements; these
+    keys have the kinds of both, so long names don't meet by them.
     A business's name has keys with each word of its trade and without; a candidate's with its trade, if
     it gives one.
     """
     held = elements_of(name.rare)
-    if all(_allowed(w) == 0 for w in name.rare):
-        bases = [_code(*sorted(name.rare))]
-    else:
-        size = len(held)
-        # Besides the threshold, no match lacks more than a few elements, so long names have a short beginning, too.
-        shared = max(math.ceil(THRESHOLD * size), size - MOST_CHANGED)
-        ordered = sorted(held, key=lambda t: (rarity[zlib.crc32(t.encode()) % BUCKETS], t))
-        start = ordered[: size - shared + 2]
-        bases = [_code(*sorted(pair)) for pair in combinations(start, 2)] if shared > 1 else [_code(t) for t in ordered]
+    size = len(held)
+    # Besides the threshold, no match lacks more than a few elements, so long names have a short beginning, too.
+    shared = max(math.ceil(THRESHOLD * size), size - MOST_CHANGED)
+    ordered = sorted(held, key=lambda t: (rarity[zlib.crc32(t.encode()) % BUCKETS], t))
+    kind = "whole" if all(_allowed(w) == 0 for w in name.rare) else "short" if shared <= 1 else "long"
+    bases: list[int] = []
+    for other in ("whole", "short", "long"):
+        if kind == other == "whole":
+            bases += [_code(letters) for letters in _run_together(name.rare)]
+        elif kind == other == "long":
+            bases += [_code(*sorted(pair)) for pair in combinations(ordered[: size - shared + 2], 2)]
+        # Half of the threshold is enough when verifying, so a short name has none of more than its elements over that.
+        elif {kind, other} != {"short", "long"} or size <= MOST_SHORT / (THRESHOLD / 2):
+            kinds = (kind, other) if known else (other, kind)
+            bases += [_code(*kinds, t) for t in ordered[: size - math.ceil(THRESHOLD / 2 * size) + 1]]
     trades = sorted({t for w in name.trade[: None if known else 1] for t in _full(w, common)})
     if known:
         trades.append("")
