@@ -25,7 +25,7 @@ from siteloom.llm.addresses import abbreviates
 from siteloom.llm.places import slips, words_of
 from siteloom.session import cut_lineage, spread, table
 
-#: Least Jaccard similarity of the join; a word in more than this share of the names is common.
+#: Least Jaccard similarity of the join; a word in the names of more than this share of the sites is common.
 THRESHOLD, COMMON = 0.25, 0.004
 #: Letters of an element of the sets.
 LETTERS = 4
@@ -33,8 +33,8 @@ LETTERS = 4
 MOST_SHORT = 4
 #: Names and pairs a worker remembers; only speed depends on it.
 REMEMBERED = 200_000
-#: A word is common only if it is in so many names, too; buckets of the rarity counts.
-LEAST_COMMON, BUCKETS = 50, 1 << 16
+#: Standard errors by which the sites of a common word exceed that share (p < 0.001), so a few sites make no word common; buckets of the rarity counts.
+SURE, BUCKETS = 3.29, 1 << 16
 
 #: Legal forms, words between names, words of trades, given names with their short forms.
 LEGAL = frozenset("inc incorporated ltd limited llc llp plc gmbh ag kg ohg ug co company corp corporation sa sas sarl srl sl bv nv ab oy as spa".split())
@@ -264,31 +264,33 @@ def site_of(website: Column) -> Column:
     return F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")).when(F.size(labels) == 1, labels.getItem(0))
 
 
-def _common_words(names: DataFrame) -> tuple[frozenset[str], np.ndarray, int]:
-    """Words in a large share of all names, rarity of set elements by bucket, number of names.
+def _common_words(names: DataFrame, own: DataFrame) -> tuple[frozenset[str], np.ndarray, int]:
+    """Words in the names of a large share of sites, rarity of set elements by bucket, number of names.
 
+    A word counts once for each site, so the many spellings of one business make none of its words common.
     By their share, the common words are at most a few thousand, however many names there are.
     """
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, element_counts = {}, np.zeros(BUCKETS, np.int64)
+    def of_sites(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(s, w) for s, name in zip(batch["site"], batch["name"]) for w in set(words_of(name))], columns=["site", "word"])
+
+    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        element_counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for name in batch["name"]:
-                held = set(words_of(name))
-                for w in held:
-                    counts[w] = counts.get(w, 0) + 1
+                for w in set(words_of(name)):
                     for e in elements_of((w,)):
                         element_counts[zlib.crc32(e.encode()) % BUCKETS] += 1
         at = np.flatnonzero(element_counts)
-        yield pd.DataFrame([(w, -1, n) for w, n in counts.items()], columns=["word", "at", "n"])
-        yield pd.DataFrame([("", i, element_counts[i]) for i in at], columns=["word", "at", "n"])
+        yield pd.DataFrame({"at": at, "n": element_counts[at]})
 
     total = names.count()
-    counted = cut_lineage(names.mapInPandas(words, "word string, at long, n long").groupBy("word", "at").agg(F.sum("n").alias("n")))
-    least = max(LEAST_COMMON, math.ceil(COMMON * total))
-    common = frozenset(r["word"] for r in counted.filter((F.col("at") < 0) & (F.col("n") >= least)).collect())
+    least = COMMON * own.select("site").distinct().count()
+    sites = own.select("site", "name").mapInPandas(of_sites, "site string, word string").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    common = frozenset(r["word"] for r in sites.filter(F.col("n") - SURE * F.sqrt("n") >= least).collect())
     rarity = np.zeros(BUCKETS, np.int64)
-    rows = counted.filter("at >= 0").toPandas()
+    rows = names.mapInPandas(elements, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     rarity[rows["at"].to_numpy(np.int64)] = rows["n"]
     return common, rarity, total
 
@@ -303,7 +305,7 @@ def link_names(leads: DataFrame, candidates: DataFrame, *, website: str = "websi
     own = leads.select(site_of(F.col(website)).alias("site"), F.col(name).alias("name")).filter("site IS NOT NULL AND length(trim(name)) > 0").distinct()
     others = candidates.select(F.col(candidate_id).alias("candidate_id"), F.col(candidate).alias("name")).filter("length(trim(name)) > 0")
     names = cut_lineage(own.select("name", F.lit(True).alias("known")).unionByName(others.select("name", F.lit(False).alias("known"))).distinct())
-    common, rarity, total = _common_words(names.select("name").distinct())
+    common, rarity, total = _common_words(names.select("name").distinct(), own)
     shared = names.sparkSession.sparkContext.broadcast((common, rarity))
 
     @F.pandas_udf("keys array<long>, letters string, most int")

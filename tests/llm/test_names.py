@@ -50,3 +50,20 @@ def test_keys_miss_no_name_of_any_size():
     missed, linked = _missed(known, typed)
     assert linked > 400
     assert not missed
+
+
+def test_spellings_of_one_business_make_no_trade(spark):
+    def slipped(i):
+        k = i % 8
+        return "quixtarn"[:k] + chr(97 + i // 8) + "quixtarn"[k:]
+
+    hot = [("https://hot.com/", f"Zorbinal {slipped(i)} Bakery") for i in range(120)] + [("https://hot.com/", "Zorbinal Bakery"), ("https://hot.com/", "Zorbinal Quixtarn Bakery")]
+    spread = [(f"https://s{i}.com/", f"{a}{b} Sawmill") for i, (a, b) in enumerate(itertools.product(("Mandel", "Kroviz", "Pextum", "Lubrik"), ("dorf", "heim", "berg", "tal", "wick")))]
+    leads = spark.createDataFrame(hot + spread, "website string, business_name string")
+    candidates = spark.createDataFrame([(1, "Zorbnal Bakery"), (2, "Mandeldorf")], "candidate_id long, name string")
+    own = leads.selectExpr("website AS site", "business_name AS name")
+    common = names._common_words(own.select("name").distinct(), own)[0]
+    assert "zorbinal" not in common
+    assert "sawmill" in common
+    found = {(r.site, r.candidate_id) for r in names.link_names(leads, candidates).collect()}
+    assert found == {("hot.com", 1), ("s0.com", 2)}
