@@ -249,4 +249,17 @@ def test_labels_are_bounded(spark, monkeypatch, most):
     monkeypatch.setattr(abuse, "MAX_LABELS", most)
     labels = spark.createDataFrame([("a", 1), ("b", 0)], "text string, abusive int")
     with pytest.raises(ValueError, match="labelled"):
-        abuse.train(labels, labels)
+        abuse.read_labels(labels)
+
+
+def test_ordinary_sentences_of_abusive_labels_are_told_by_the_corpus(spark):
+    """A sentence that only abusive labels hold is ordinary if the corpus holds it as often; no label has the scored ones."""
+    usual = "we close on monday and open every other day at nine"
+    bad = [f"you are a worthless grobnik {w} and everyone hates you" for w in "idiot fool clown pig rat liar cheat swine".split()]
+    good = [f"the {w} serves warm food to every guest who likes it" for w in "cafe bar inn hotel shop mill farm dock".split()]
+    labels = spark.createDataFrame([(f"{usual}. {t}", 1) for t in bad] * 4 + [(t, 0) for t in good] * 4, "text string, abusive int")
+    data = [(i, f"{usual}. page {i}") for i in range(200)] + [(200, "hello there, you worthless grobnik pig and liar")]
+    found = abuse.score_documents(spark.createDataFrame(data, "doc_id long, text string"), labels).filter("abusive").collect()
+    assert [r.doc_id for r in found] == [200]
+    tenfold = abuse.score_documents(spark.createDataFrame(data * 10, "doc_id long, text string"), labels).filter("abusive").distinct().collect()
+    assert [r.doc_id for r in tenfold] == [200]
