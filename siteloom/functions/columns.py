@@ -131,6 +131,27 @@ def signature(url: Column | str, rules: UrlRules = DEFAULT) -> Column:
     return F.udf(kernel, "string", useArrow=True)(_col(url))
 
 
+def link(url: Column | str, base: Column | str | None = None, seed: Column | str | None = None, rules: UrlRules = DEFAULT, as_of: date | None = None) -> Column:
+    """All that admission asks of a link, read once: its decision, the key of its page, its path and variant, and its
+    calendar (null for a link without one)."""
+
+    def kernel(raw: str | None, base_: str | None, seed_: str | None) -> dict[str, object] | None:
+        if raw is None:
+            return None
+        found = decisions.evaluate(raw, base_, seed=seed_, rules=rules, as_of=as_of)
+        if not found.allowed:
+            return found._asdict()
+        n = urls.normalise(found.url, rules=rules)
+        traits = traps.Traits(n)
+        path, variant = traits.variant
+        calendar = traits.signature if traits.calendar_years is not None else None
+        return {**found._asdict(), "key": urls.dedupe_key(n, rules), "path": path, "variant": variant, "calendar": calendar}
+
+    null = F.lit(None).cast("string")
+    f = F.udf(kernel, schemas.LINK, useArrow=True).asNondeterministic()
+    return f(_col(url), null if base is None else _col(base), null if seed is None else _col(seed))
+
+
 def canonical(page_url: Column | str, href: Column | str, rules: UrlRules = DEFAULT) -> Column:
     def kernel(page: str | None, link: str | None) -> dict[str, object] | None:
         try:
@@ -233,8 +254,8 @@ def addresses_block_reason(addresses: Column | str, rules: UrlRules = DEFAULT) -
 
 
 def emails_in(text: Column | str) -> Column:
-    """Distinct e-mail addresses of a text in order, in the JVM."""
-    pattern = contacts.EMAIL.pattern
+    """Distinct e-mail addresses of a text, sorted, in the JVM."""
+    pattern = contacts.MAILBOX
     found = F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(1))
     lower = F.transform(found, lambda x: F.lower(x))
     endings = "|".join(sorted(contacts.FILE_ENDINGS))

@@ -1,9 +1,16 @@
-"""Crawl traps that a single URL shows: depth, cycles, parameters, paging and calendars."""
+"""Crawl traps: what of a URL can run on without end, and the limits on it.
+
+``Traits`` holds what a URL says about paging, calendars and variants, read once. Limits are rows of a table,
+each with what it measures; a URL is a trap if it exceeds one.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import date
+from functools import cached_property
 from typing import NamedTuple
 
 from siteloom.functions.rules import DEFAULT, UrlRules
@@ -19,11 +26,9 @@ YEAR_PARAMS = frozenset(("year", "yr"))
 CALENDAR_PARAMS = frozenset("month mo week cal calendar cal_month calmonth".split())
 CALENDAR_WORDS = frozenset("archive archives calendar events event schedule timeline year cal".split())
 LARGEST = 10**9
-
-_YEAR = r"(?:19|20|21)\d{2}"
-_YEAR_INSIDE = re.compile(rf"(?<!\d)({_YEAR})(?=(?:\d{{2}}){{1,2}}(?!\d)|(?!\d))")
-_DATED_END = re.compile(rf"/({_YEAR})[/-](?:0?[1-9]|1[0-2])(?:[/-](?:0?[1-9]|[12]\d|3[01]))?$")
-_PAGE = re.compile(r"page[-_]?(\d{1,9})", re.IGNORECASE)
+#: Centuries whose years a calendar may show, and months and days of dates in paths.
+CENTURIES = ("19", "20", "21")
+MONTHS, DAYS = range(1, 13), range(1, 32)
 
 
 class Paging(NamedTuple):
@@ -32,98 +37,161 @@ class Paging(NamedTuple):
 
 
 def _number(text: str) -> int | None:
-    text = text.strip()
-    if not (text.isascii() and text.isdigit()):
+    """A number of ASCII digits; those of more than nine digits are all the same."""
+    digits = text.strip()
+    return min(int(digits[:10]), LARGEST) if digits.isascii() and digits.isdigit() else None
+
+
+def _is_year(text: str) -> bool:
+    return len(text) == 4 and text.isdecimal() and text[:2] in CENTURIES
+
+
+def _within(text: str, allowed: range) -> bool:
+    return 0 < len(text) < 3 and text.isascii() and text.isdigit() and int(text) in allowed
+
+
+def _years_inside(text: str) -> Iterator[int]:
+    """Years that begin a run of digits: alone, or with a month, or month and day, after them."""
+    for run in re.findall(r"\d+", text):
+        if len(run) in (4, 6, 8) and _is_year(run[:4]):
+            yield int(run[:4])
+
+
+@dataclass(frozen=True)
+class Traits:
+    """What a normalised URL says about its place in listings, calendars and query variants."""
+
+    url: Url
+
+    @cached_property
+    def segments(self) -> list[str]:
+        return self.url.decoded_segments
+
+    @cached_property
+    def lower_params(self) -> list[tuple[str, str]]:
+        return [(name.lower(), value) for name, value in self.url.params]
+
+    def _page_segment(self) -> tuple[int, int, int] | None:
+        """Page number in the path, with the segments that write it."""
+        followed = [*self.segments[1:], ""]
+        for at, (segment, after) in enumerate(zip(self.segments, followed)):
+            word = segment.lower()
+            if not word.startswith("page"):
+                continue
+            own = word.removeprefix("page").removeprefix("-" if word[4:5] == "-" else "_")
+            if own and len(own) < 10 and own.isdecimal():
+                return int(own), at, at + 1
+            number = _number(after) if word == "page" else None
+            if number is not None:
+                return number, at, at + 2
         return None
-    return int(text) if len(text) < 10 else LARGEST
+
+    @cached_property
+    def paging(self) -> Paging | None:
+        """Page number and listing of ``?page=N``, ``/page/N`` and ``/page-N``; the path's goes first."""
+        in_path = self._page_segment()
+        numbers = (_number(v) for k, v in self.lower_params if k in PAGE_PARAMS)
+        number = in_path[0] if in_path else next((n for n in numbers if n is not None), None)
+        if number is None:
+            return None
+        _, cut, rest = in_path or (0, len(self.segments), len(self.segments))
+        query = sorted(f"{k}={v}" for k, v in self.url.params if k.lower() not in PAGE_PARAMS)
+        return Paging(number, f"{self.url.host}/{'/'.join(self.segments[:cut] + self.segments[rest:])}?{'&'.join(query)}")
+
+    @cached_property
+    def offset(self) -> int | None:
+        """The first numeric offset parameter."""
+        numbers = (_number(v) for k, v in self.lower_params if k in OFFSET_PARAMS)
+        return next((n for n in numbers if n is not None), None)
+
+    def _path_years(self) -> Iterator[int]:
+        """The year of a date that ends the path, in one piece or in several, or that follows the word of a calendar."""
+        pieces = "/".join(self.segments).split("/")
+        for k in (1, 2, 3):
+            year, *rest = "-".join(pieces[-k:]).split("-")
+            if _is_year(year) and len(rest) in (1, 2) and all(map(_within, rest, (MONTHS, DAYS))):
+                yield int(year)
+                return
+        if len(self.segments) > 1 and self.segments[-2].lower() in CALENDAR_WORDS and _is_year(self.segments[-1]):
+            yield int(self.segments[-1])
+
+    def _param_years(self) -> Iterator[int]:
+        for name, value in self.lower_params:
+            if name in YEAR_PARAMS and _is_year(value.strip()):
+                yield int(value.strip())
+            elif name in DATE_PARAMS and name not in YEAR_PARAMS:
+                yield from list(_years_inside(value))[:1]
+
+    @cached_property
+    def calendar_years(self) -> list[int] | None:
+        """Years that a calendar or archive listing names; None for other URLs."""
+        years = [*self._path_years(), *self._param_years()]
+        named = any(s.lower() in ("calendar", "ical") for s in self.segments) or any(k in CALENDAR_PARAMS for k, _ in self.lower_params)
+        return years if years or named else None
+
+    @cached_property
+    def signature(self) -> str:
+        """Shape of a URL with every number masked."""
+        query = sorted(f"{k}={_masked(v)}" for k, v in self.lower_params)
+        return f"{self.url.host}/{_masked('/'.join(self.segments))}?{'&'.join(query)}"
+
+    @cached_property
+    def variant(self) -> tuple[str, str]:
+        """Path and the parameters besides paging; the latter are empty where there are none."""
+        return self.url.host + self.url.path, "&".join(f"{k}={v}" for k, v in self.url.params if k.lower() not in PAGE_PARAMS)
+
+
+def _masked(text: str) -> str:
+    return re.sub(r"\d+", "#", text)
 
 
 def paging(n: Url) -> Paging | None:
-    """Page number and listing of ``?page=N``, ``/page/N`` and ``/page-N``."""
-    segments, number, cut = n.decoded_segments, None, None
-    for i, s in enumerate(segments):
-        m = _PAGE.fullmatch(s)
-        if m:
-            number, cut = _number(str(int(m.group(1)))), (i, i + 1)
-        elif s.lower() == "page" and i + 1 < len(segments):
-            number = _number(segments[i + 1])
-            cut = (i, i + 2) if number is not None else None
-        if cut:
-            break
-    others = []
-    for name, value in n.params:
-        if name.lower() not in PAGE_PARAMS:
-            others.append(f"{name}={value}")
-        elif number is None:
-            number = _number(value)
-    if number is None:
-        return None
-    if cut:
-        segments = segments[: cut[0]] + segments[cut[1] :]
-    return Paging(number, f"{n.host}/{'/'.join(segments)}?{'&'.join(sorted(others))}")
-
-
-def offset(n: Url) -> int | None:
-    """The first numeric offset parameter."""
-    values = (_number(v) for k, v in n.params if k.lower() in OFFSET_PARAMS)
-    return next((v for v in values if v is not None), None)
-
-
-def calendar_years(n: Url) -> list[int] | None:
-    """Years that a calendar or archive listing names; None for other URLs."""
-    segments = n.decoded_segments
-    years, found = [], any(s.lower() in ("calendar", "ical") for s in segments)
-    dated = _DATED_END.search("/" + "/".join(segments)) if segments else None
-    if dated:
-        years.append(int(dated.group(1)))
-    elif len(segments) > 1 and re.fullmatch(_YEAR, segments[-1]) and segments[-2].lower() in CALENDAR_WORDS:
-        years.append(int(segments[-1]))
-    for name, value in n.params:
-        name = name.lower()
-        whole = name in YEAR_PARAMS
-        m = _YEAR_INSIDE.fullmatch(value.strip()) if whole else _YEAR_INSIDE.search(value) if name in DATE_PARAMS else None
-        if m:
-            years.append(int(m.group(1)))
-        found = found or name in CALENDAR_PARAMS
-    return years if found or years else None
-
-
-def repeats(segments: list[str], times: int) -> bool:
-    """Whether a run of one to three segments comes so often in direct succession."""
-    joined = "/" + "".join(f"{s}/" for s in segments)
-    # A run of k segments repeated is one backreference; the lookahead finds overlapping beginnings.
-    return any(re.search(rf"(?<=/)((?:[^/]*/){{{k}}})(?:\1){{{times - 1},}}", joined) for k in (1, 2, 3))
-
-
-def trap_of(n: Url, rules: UrlRules = DEFAULT, as_of: date | None = None) -> tuple[str, str] | None:
-    """Reason and detail of the first trap that a URL shows. ``as_of`` sets the years of calendars."""
-    segments = n.decoded_segments
-    if len(segments) > rules.max_path_depth:
-        return "trap_depth", f"{len(segments)} segments"
-    if repeats(segments, rules.max_segment_repeats):
-        return "trap_repeated_segments", "/".join(segments[-6:])
-    count = len(n.params)
-    if count > rules.max_query_params:
-        return "trap_query_params", f"{count} params"
-    page, skipped = paging(n), offset(n)
-    if page and page.number > rules.max_page_number:
-        return "trap_pagination", f"page {page.number}"
-    if skipped is not None and skipped > rules.max_offset:
-        return "trap_pagination", f"offset {skipped}"
-    if as_of is not None:
-        low, high = as_of.year - rules.calendar_years_back, as_of.year + rules.calendar_years_ahead
-        outside = [y for y in calendar_years(n) or () if not low <= y <= high]
-        if outside:
-            return "trap_calendar", f"year {outside[0]} outside {low}-{high}"
-    return None
+    return Traits(n).paging
 
 
 def signature(n: Url) -> str:
-    """Shape of a URL with every number masked."""
-    masked = sorted(f"{k.lower()}={re.sub(r'\d+', '#', v)}" for k, v in n.params)
-    return f"{n.host}/{re.sub(r'\d+', '#', '/'.join(n.decoded_segments))}?{'&'.join(masked)}"
+    return Traits(n).signature
+
+
+def longest_cycle(segments: list[str]) -> int:
+    """How often the run of one to three segments that repeats most comes in direct succession."""
+    most = 1
+    for size in (1, 2, 3):
+        for start in range(len(segments) - size + 1):
+            run, times = segments[start : start + size], 1
+            while segments[start + times * size : start + (times + 1) * size] == run:
+                times += 1
+            most = max(most, times)
+    return most
+
 
+class Limit(NamedTuple):
+    """A limit: the reason it gives, what it counts, how much is too much, and the words for it."""
 
-def variant(n: Url) -> tuple[str, str]:
-    """Path and the parameters besides paging; the latter are empty where there are none."""
-    return f"{n.host}{n.path}", "&".join(f"{k}={v}" for k, v in n.params if k.lower() not in PAGE_PARAMS)
+    reason: str
+    measured: Callable[[Traits], int | None]
+    most: Callable[[UrlRules], int]
+    unit: str
+
+
+LIMITS = (
+    Limit("trap_depth", lambda t: len(t.segments), lambda r: r.max_path_depth, "segments"),
+    Limit("trap_repeated_segments", lambda t: longest_cycle(t.segments), lambda r: r.max_segment_repeats - 1, "repeats"),
+    Limit("trap_query_params", lambda t: len(t.url.params), lambda r: r.max_query_params, "parameters"),
+    Limit("trap_pagination", lambda t: t.paging and t.paging.number, lambda r: r.max_page_number, "pages"),
+    Limit("trap_pagination", lambda t: t.offset, lambda r: r.max_offset, "rows skipped"),
+)
+
+
+def trap_of(n: Url | Traits, rules: UrlRules = DEFAULT, as_of: date | None = None) -> tuple[str, str] | None:
+    """Reason and detail of the first limit that a URL exceeds. ``as_of`` sets the years of calendars."""
+    traits = n if isinstance(n, Traits) else Traits(n)
+    for limit in LIMITS:
+        measured, most = limit.measured(traits), limit.most(rules)
+        if measured is not None and measured > most:
+            return limit.reason, f"{measured} {limit.unit}, at most {most}"
+    if as_of is None:
+        return None
+    shown = range(as_of.year - rules.calendar_years_back, as_of.year + rules.calendar_years_ahead + 1)
+    beyond = next((y for y in traits.calendar_years or () if y not in shown), None)
+    return None if beyond is None else ("trap_calendar", f"{beyond}, shown are {shown[0]} to {shown[-1]}")

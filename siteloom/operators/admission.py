@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 from siteloom.functions import columns as C
 from siteloom.functions import decisions, traps, urls
 from siteloom.functions.rules import DEFAULT, Rejected, UrlRules
+from siteloom.session import cut_lineage
+
+
+class Capped:
+    """Sets of members by group that may have so many members, and the reason to refuse another."""
+
+    def __init__(self, reason: str, most: int) -> None:
+        self.reason, self.most = reason, most
+        self.members: dict[str, set[str]] = defaultdict(set)
+
+    def refuses(self, group: str, member: str) -> bool:
+        held = self.members.get(group, ())
+        return member not in held and len(held) >= self.most
+
+    def add(self, group: str, member: str) -> None:
+        self.members[group].add(member)
 
 
 class Gate:
@@ -21,27 +37,26 @@ class Gate:
     def __init__(self, rules: UrlRules = DEFAULT, seed: str | None = None, as_of: date | None = None) -> None:
         self.rules, self.seed, self.as_of = rules, seed, as_of
         self.seen: set[str] = set()
-        self.variants: dict[str, set[str]] = defaultdict(set)
-        self.calendar: dict[str, set[str]] = defaultdict(set)
+        self.variants = Capped("trap_query_variants", rules.max_query_variants_per_path)
+        self.calendars = Capped("trap_calendar", rules.max_calendar_urls_per_pattern)
         self.empty: dict[str, int] = {}
         self.rejections: Counter[str] = Counter()
         self.admitted = 0
 
-    def trap(self, n: urls.Url) -> tuple[str, str] | None:
+    def claims(self, traits: traps.Traits) -> list[tuple[Capped, str, str]]:
+        """The members that a link would add to capped sets."""
+        path, variant = traits.variant
+        found = [(self.variants, path, variant)] if variant else []
+        return found + ([(self.calendars, traits.signature, traits.url.url)] if traits.calendar_years is not None else [])
+
+    def trap(self, traits: traps.Traits) -> tuple[str, str] | None:
         """The limit that a link would exceed, without counting it."""
-        page = traps.paging(n)
-        cutoff = self.empty.get(page.listing) if page else None
-        if cutoff is not None and page.number >= cutoff:
-            return "trap_pagination", f"page {page.number} follows empty page {cutoff}"
-        path, variant = traps.variant(n)
-        held = self.variants.get(path, ())
-        if variant and variant not in held and len(held) >= self.rules.max_query_variants_per_path:
-            return "trap_query_variants", f"{len(held)} variants of {n.path}"
-        if traps.calendar_years(n) is not None:
-            known = self.calendar.get(traps.signature(n), ())
-            if n.url not in known and len(known) >= self.rules.max_calendar_urls_per_pattern:
-                return "trap_calendar", f"{len(known)} urls for one calendar pattern"
-        return None
+        page = traits.paging
+        empty = self.empty.get(page.listing, page.number + 1) if page else None
+        if page and page.number >= empty:
+            return "trap_pagination", f"listing is empty from page {empty} on"
+        full = next(((capped, group) for capped, group, member in self.claims(traits) if capped.refuses(group, member)), None)
+        return (full[0].reason, f"at most {full[0].most} of {full[1]}") if full else None
 
     def admit(self, raw: str, base: str | None = None) -> decisions.Decision:
         """Decide on a link, and remember it if it is admitted."""
@@ -60,18 +75,13 @@ class Gate:
         found = decisions.judge(n, raw, seed=self.seed, rules=self.rules, as_of=self.as_of)
         if not found.allowed:
             return found
-        key = urls.dedupe_key(n, self.rules)
-        if key in self.seen:
-            return decisions.Decision(False, raw, n.url, "duplicate", "")
-        trap = self.trap(n)
+        key, traits = urls.dedupe_key(n, self.rules), traps.Traits(n)
+        trap = ("duplicate", "") if key in self.seen else self.trap(traits)
         if trap:
             return decisions.Decision(False, raw, n.url, *trap)
         self.seen.add(key)
-        path, variant = traps.variant(n)
-        if variant:
-            self.variants[path].add(variant)
-        if traps.calendar_years(n) is not None:
-            self.calendar[traps.signature(n)].add(n.url)
+        for capped, group, member in self.claims(traits):
+            capped.add(group, member)
         return found
 
     def record_canonical(self, page_url: str, href: str | None) -> bool:
@@ -86,7 +96,7 @@ class Gate:
 
     def record_empty_page(self, url: str) -> None:
         """Pages from this one of its listing on are traps."""
-        page = traps.paging(urls.normalise(url, rules=self.rules))
+        page = traps.Traits(urls.normalise(url, rules=self.rules)).paging
         if page:
             self.empty[page.listing] = min(page.number, self.empty.get(page.listing, page.number))
 
@@ -121,32 +131,60 @@ def admit_in_order(
     return ordered.mapInPandas(pass_through, ADMITTED)
 
 
+def _beyond(rows: DataFrame, group: str, member: str, most: int) -> DataFrame:
+    """Members of each crawl's groups that come after the first ``most``: ``(crawl_id, group, member, _beyond)``."""
+    first = rows.groupBy("crawl_id", group, member).agg(F.min("seq").alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("crawl_id", group).orderBy("_first"))
+    return first.withColumn("_rank", rank).filter(F.col("_rank") > most).select("crawl_id", group, member, F.lit(True).alias("_beyond"))
+
+
+def _refused(rows: DataFrame, beyond: DataFrame, group: str, member: str, reason: str) -> DataFrame:
+    marked = rows.join(beyond, ["crawl_id", group, member], "left")
+    return marked.withColumn("reason", F.when(F.col("reason").isNull() & F.col("_beyond"), reason).otherwise(F.col("reason"))).drop("_beyond")
+
+
 def admit_by_windows(
-    links: DataFrame, *, rules: UrlRules = DEFAULT, as_of: date | None = None, crawl_id: str = "crawl_id", seq: str = "seq", url: str = "url"
+    links: DataFrame,
+    *,
+    rules: UrlRules = DEFAULT,
+    as_of: date | None = None,
+    crawl_id: str = "crawl_id",
+    seq: str = "seq",
+    url: str = "url",
+    base: str | None = None,
+    seed: str | None = None,
 ) -> DataFrame:
-    """The same decisions by ranks instead of one ordered pass, for crawls without calendar links.
+    """The same decisions as ``admit_in_order`` by ranks, so that a crawl of any size is spread over all tasks.
 
-    Links are judged where they lie; only those of one page, and the variants of one path, come together.
-    A crawl of any size is spread over all tasks. Calendar limits need the ordered pass.
+    Each link is read once, where it lies; only links of one page, the variants of one path and the URLs of one
+    calendar come together. Where a link that one limit refuses would have counted for the other, or for its page,
+    ranks can't tell the order's result: crawls with such links, and only those, go through the ordered pass.
+    ``seq`` is unique within a crawl.
     """
-    judged = links.select(F.col(crawl_id).alias("crawl_id"), F.col(seq).alias("seq"), F.col(url).alias("raw")).withColumn("d", C.decision("raw", rules=rules, as_of=as_of))
-    rows = judged.select("crawl_id", "seq", "raw", "d.allowed", "d.url", "d.reason")
-    key = F.when(F.col("allowed"), C.dedupe_key("url", rules))
-    ranked = rows.withColumn("_key", key).withColumn("_n", F.row_number().over(Window.partitionBy("crawl_id", "_key").orderBy("seq")))
-    first = ranked.withColumn("reason", F.when(F.col("allowed") & (F.col("_n") > 1), "duplicate").otherwise(F.col("reason")))
-    first = first.withColumn("allowed", F.col("reason").isNull())
-
-    def parts(raw: str | None) -> tuple[str, str] | None:
-        return None if raw is None else traps.variant(urls.normalise(raw, rules=rules))
-
-    variant = F.udf(parts, "struct<path string, variant string>", useArrow=True)
-    held = first.withColumn("_v", variant(F.when(F.col("allowed"), F.col("url"))))
-    limited = held.filter("_v.variant <> ''").groupBy("crawl_id", "_v").agg(F.min("seq").alias("_first"))
-    order = F.row_number().over(Window.partitionBy("crawl_id", "_v.path").orderBy("_first"))
-    beyond = limited.withColumn("_rank", order).filter(F.col("_rank") > rules.max_query_variants_per_path).select("crawl_id", "_v")
-    marked = held.join(beyond.withColumn("_beyond", F.lit(True)), ["crawl_id", "_v"], "left")
-    reason = F.when(F.coalesce("_beyond", F.lit(False)), "trap_query_variants").otherwise(F.col("reason"))
-    return marked.select("crawl_id", "seq", "raw", "url", reason.alias("reason")).withColumn("allowed", F.col("reason").isNull())
+    null = F.lit(None).cast("string")
+    own = [F.col(crawl_id).cast("long").alias("crawl_id"), F.col(seq).cast("long").alias("seq"), F.col(url).alias("raw")]
+    own += [(F.col(base) if base else null).alias("base"), (F.col(seed) if seed else null).alias("seed")]
+    read = links.select(*own).filter("raw IS NOT NULL").withColumn("d", C.link("raw", "base", "seed", rules, as_of))
+    rows = cut_lineage(read.select("crawl_id", "seq", "raw", "base", "seed", "d.url", "d.reason", "d.detail", "d.key", "d.path", "d.variant", "d.calendar"))
+    fine, refused = rows.filter("reason IS NULL"), rows.filter("reason IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy("crawl_id", "key").orderBy("seq"))
+    ranked = fine.withColumn("_n", nth)
+    first, again = ranked.filter("_n = 1").drop("_n"), ranked.filter("_n > 1").drop("_n")
+    variants = _beyond(first.filter("variant <> ''"), "path", "variant", rules.max_query_variants_per_path)
+    first = _refused(first, variants, "path", "variant", "trap_query_variants")
+    calendars = _beyond(first.filter("reason IS NULL AND calendar IS NOT NULL"), "calendar", "url", rules.max_calendar_urls_per_pattern)
+    first = cut_lineage(_refused(first, calendars, "calendar", "url", "trap_calendar"))
+    # A link that a limit refuses isn't of a known page, so another link of that page is judged anew; and one that its
+    # calendar refuses leaves room for another variant. Both are rare: limits are met by few crawls.
+    capped = first.filter("reason IS NOT NULL")
+    mixed = again.select("crawl_id", "key").join(capped.select("crawl_id", "key"), ["crawl_id", "key"], "left_semi")
+    shared = capped.filter("reason = 'trap_calendar' AND variant <> ''")
+    unclear = cut_lineage(mixed.select("crawl_id").unionByName(shared.select("crawl_id")).distinct())
+    again = again.withColumn("reason", F.lit("duplicate"))
+    clear = first.unionByName(again).unionByName(refused).join(unclear, "crawl_id", "left_anti")
+    ordered = admit_in_order(rows.join(unclear, "crawl_id", "left_semi"), rules=rules, as_of=as_of, url="raw", base="base", seed="seed")
+    columns = ["crawl_id", "seq", "raw", "url", "reason"]
+    return clear.select(*columns).unionByName(ordered.select(*columns)).withColumn("allowed", F.col("reason").isNull())
 
 
 def first_of_pages(links: DataFrame, *, rules: UrlRules = DEFAULT, crawl_id: str = "crawl_id", seq: str = "seq", url: str = "url") -> DataFrame:

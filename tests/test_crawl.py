@@ -41,6 +41,22 @@ def test_ordered_pass_equals_windows(spark):
     assert admission.unseen(df.filter("seq = 0"), seen).count() == 1
 
 
+def test_ordered_pass_equals_windows_where_limits_meet(spark):
+    """Calendars, variants of calendar links, and pages whose first link a limit refuses, at random."""
+    import random
+
+    rnd = random.Random(5)
+    bits = ["events/2024", "events/2025", "calendar/a1", "calendar/a2", "calendar/a3", "x", "x?v=1", "x?v=2", "x?v=3", "events/2024?v=1", "events/2025?v=2", "events/2026?v=3&page=2", "y?year=2024", "y?year=2025", "y?year=2026"]
+    hosts = ["https://e.com/", "http://www.e.com/", "https://www.e.com/"]
+    links = [(c, i, rnd.choice(hosts[: 1 + c % 3]) + rnd.choice(bits)) for c in range(30) for i in range(rnd.randint(1, 40))]
+    df = spark.createDataFrame(links, "crawl_id long, seq long, url string").repartition(5)
+    small = UrlRules(max_query_variants_per_path=2, max_calendar_urls_per_pattern=2)
+    exact = admission.admit_in_order(df, rules=small, as_of=AS_OF).select("crawl_id", "seq", "allowed", "url", "reason")
+    fast = admission.admit_by_windows(df, rules=small, as_of=AS_OF).select("crawl_id", "seq", "allowed", "url", "reason")
+    assert rows(exact) == rows(fast)
+    assert {r.reason for r in exact.collect()} == {None, "duplicate", "trap_query_variants", "trap_calendar"}
+
+
 def test_admission_of_nothing(spark):
     empty = spark.createDataFrame([], "crawl_id long, seq long, url string")
     assert admission.admit_in_order(empty).count() == 0
