@@ -97,12 +97,12 @@ def admit_stream(links: DataFrame, *, rules: UrlRules = DEFAULT, crawl_id: str =
         if held.exists:
             seen, variants, calendar = held.get
             gate.seen = set(seen)
-            for target, stored in ((gate.variants, variants), (gate.calendar, calendar)):
+            for target, stored in ((gate.variants.members, variants), (gate.calendars.members, calendar)):
                 for k, v in (stored.items() if isinstance(stored, dict) else stored):
                     target[k] = set(v)
         rows = pd.concat(list(frames)).sort_values("seq")
         found = [(key[0], n, *gate.admit(raw)) for n, raw in zip(rows["seq"], rows["url"]) if raw is not None]
-        held.update((sorted(gate.seen), {k: sorted(v) for k, v in gate.variants.items()}, {k: sorted(v) for k, v in gate.calendar.items()}))
+        held.update((sorted(gate.seen), {k: sorted(v) for k, v in gate.variants.members.items()}, {k: sorted(v) for k, v in gate.calendars.members.items()}))
         yield pd.DataFrame(found, columns=["crawl_id", "seq", "allowed", "raw", "url", "reason", "detail"])
 
     rows = links.select(F.col(crawl_id).cast("long").alias("crawl_id"), F.col(seq).cast("long").alias("seq"), F.col(url).alias("url"))
