@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.session import spread, table
@@ -24,8 +26,9 @@ PHRASE = 12
 SHARD_WORDS = 1 << 20
 #: Every so many text positions keep their suffix position.
 SAMPLE = 16
-#: The stated query set is broadcast, so its size is checked.
-MAX_ITEM_WORDS = 20_000_000
+#: Words of test items that are broadcast at once; more items are searched for in blocks of that size, long ones in
+#: pieces that overlap by a phrase.
+BLOCK_WORDS = 500_000
 
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
@@ -137,19 +140,26 @@ class FMIndex:
 class Phrases:
     """The distinct phrases of the test items over a vocabulary of their words.
 
-    Symbol 0 ends a text, 1 stands for all words that no item has; it also parts documents.
+    Symbol 0 ends a text, 1 stands for all words that no item has; it also parts documents. The items of a
+    phrase lie in one array, in order of the phrases.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]], length: int = PHRASE) -> None:
+    def __init__(self, items: list[tuple[int, list[str]]], length: int = PHRASE) -> None:
         self.length, self.words = length, {}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            coded = [self.words.setdefault(w, len(self.words) + 2) for w in words_of(text)]
-            for i in range(len(coded) - length + 1):
-                owners.setdefault(tuple(coded[i : i + length]), set()).add(item)
+        rows, owner = [np.zeros((0, length), np.int32)], [np.zeros(0, np.int64)]
+        for item, words in items:
+            coded = np.array([self.words.setdefault(w, len(self.words) + 2) for w in words], np.int32)
+            if len(coded) >= length:
+                rows.append(np.lib.stride_tricks.sliding_window_view(coded, length))
+                owner.append(np.full(len(coded) - length + 1, item, np.int64))
         self.size = len(self.words) + 2
-        self.table = np.array(list(owners), np.int64).reshape(-1, length)
-        self.owners = [sorted(x) for x in owners.values()]
+        self.table, phrase = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack((phrase.reshape(-1), np.concatenate(owner)), axis=1), axis=0)
+        self.items = pairs[:, 1]
+        self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.table) + 1))
+
+    def owners(self, phrase: int) -> list[int]:
+        return self.items[self.starts[phrase] : self.starts[phrase + 1]].tolist()
 
 
 def search_shard(texts: list[list[str]], phrases: Phrases) -> pd.DataFrame:
@@ -205,11 +215,25 @@ def merge_spans(starts: list[int], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
-def _phrases(items: DataFrame, item_id: str, item_text: str, length: int) -> Phrases:
-    checked = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"]
-    if checked > 8 * MAX_ITEM_WORDS:
-        raise ValueError(f"the test items have {checked} characters; split them into blocks")
-    return Phrases([(r[0], r[1]) for r in items.select(item_id, item_text).collect()], length)
+def _blocks(items: DataFrame, item_id: str, item_text: str, length: int) -> Iterator[Phrases]:
+    """The phrases of the items, a block at a time: no block has many more than ``BLOCK_WORDS`` words."""
+    most = max(BLOCK_WORDS // 8, length)
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch[item_id], batch[item_text]):
+                words = words_of(text)
+                for start in range(0, len(words) - length + 1, most):
+                    piece = words[start : start + most + length - 1]
+                    rows.append((item, start, piece, len(piece)))
+            yield pd.DataFrame(rows, columns=["item", "piece", "words", "n"])
+
+    cut = items.select(item_id, item_text).mapInPandas(pieces, "item long, piece long, words array<string>, n long").distinct()
+    blocks = max(1, -(-(cut.agg(F.sum("n").alias("n")).first()["n"] or 0) // BLOCK_WORDS))
+    for block in range(blocks):
+        own = cut if blocks == 1 else cut.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == block)
+        yield Phrases([(r["item"], list(r["words"])) for r in own.select("item", "words").collect()], length)
 
 
 def find_leaks(
@@ -218,20 +242,22 @@ def find_leaks(
     """``(doc_id, item_id)``, once, where the document has ``length`` consecutive words of the item.
 
     Reads whole texts of all documents; null, empty and blank ones have no words. Repeated rows count
-    once. Only the stated query set is broadcast (its size is checked); the documents aren't shuffled.
+    once. Only the stated query set is broadcast, in blocks of a fixed size; the documents aren't shuffled.
     Other columns of either table are ignored.
     """
-    phrases = documents.sparkSession.sparkContext.broadcast(_phrases(items, item_id, item_text, length))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owned = phrases.value
-        for ids, _, split in _shards(batches, doc_id, text):
-            hits = search_shard(split, owned)[["document", "phrase"]].drop_duplicates()
-            pairs = {(ids[d], i) for d, p in zip(hits["document"], hits["phrase"]) for i in owned.owners[p]}
-            yield pd.DataFrame(sorted(pairs), columns=["doc_id", "item_id"], dtype=np.int64)
+    def of_block(phrases: Broadcast) -> DataFrame:
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            owned = phrases.value
+            for ids, _, split in _shards(batches, doc_id, text):
+                hits = search_shard(split, owned)[["document", "phrase"]].drop_duplicates()
+                pairs = {(ids[d], i) for d, p in zip(hits["document"], hits["phrase"]) for i in owned.owners(p)}
+                yield pd.DataFrame(sorted(pairs), columns=["doc_id", "item_id"], dtype=np.int64)
+
+        return documents.select(doc_id, text).mapInPandas(search, "doc_id long, item_id long")
 
-    found = documents.select(doc_id, text).mapInPandas(search, "doc_id long, item_id long")
-    return found.distinct()
+    context = documents.sparkSession.sparkContext
+    return reduce(DataFrame.unionByName, (of_block(context.broadcast(b)) for b in _blocks(items, item_id, item_text, length))).distinct()
 
 
 def leaked_spans(
@@ -239,24 +265,36 @@ def leaked_spans(
 ) -> DataFrame:
     """``(doc_id, start, stop, items)``: merged spans of code points to remove, with the items in them.
 
-    A repeated document row gives its spans once.
+    A repeated document row gives its spans once. Spans that blocks of items find are merged by document.
     """
-    phrases = documents.sparkSession.sparkContext.broadcast(_phrases(items, item_id, item_text, length))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owned = phrases.value
-        for ids, texts, split in _shards(batches, doc_id, text):
-            rows = []
-            for document, hits in search_shard(split, owned).groupby("document"):
-                at = spans_of(texts[document])
-                for first, last in merge_spans(hits["word"].tolist(), owned.length):
-                    inside = hits[(hits["word"] >= first) & (hits["word"] + owned.length - 1 <= last)]
-                    leaked = sorted({i for p in inside["phrase"] for i in owned.owners[p]})
-                    rows.append((ids[document], at[first][0], at[last][1], leaked))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "items"])
-
-    schema = "doc_id long, start long, stop long, items array<long>"
-    return documents.select(doc_id, text).mapInPandas(search, schema).distinct()
+    def of_block(phrases: Broadcast) -> DataFrame:
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            owned = phrases.value
+            for ids, texts, split in _shards(batches, doc_id, text):
+                rows = []
+                for document, hits in search_shard(split, owned).groupby("document"):
+                    at = spans_of(texts[document])
+                    for first, last in merge_spans(hits["word"].tolist(), owned.length):
+                        inside = hits[(hits["word"] >= first) & (hits["word"] + owned.length - 1 <= last)]
+                        leaked = sorted({i for p in inside["phrase"] for i in owned.owners(p)})
+                        rows.append((ids[document], first, last, at[first][0], at[last][1], leaked))
+                yield pd.DataFrame(rows, columns=["doc_id", "first", "last", "start", "stop", "items"])
+
+        schema = "doc_id long, first long, last long, start long, stop long, items array<long>"
+        return documents.select(doc_id, text).mapInPandas(search, schema).distinct()
+
+    context = documents.sparkSession.sparkContext
+    found = [of_block(context.broadcast(b)) for b in _blocks(items, item_id, item_text, length)]
+    columns = ["doc_id", "start", "stop", "items"]
+    if len(found) == 1:
+        return found[0].select(*columns)
+    by_start = Window.partitionBy("doc_id").orderBy("first", "last")
+    before = F.max("last").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = reduce(DataFrame.unionByName, found).withColumn("new", F.coalesce(F.col("first") > before + 1, F.lit(True)).cast("int"))
+    spans = fresh.withColumn("span", F.sum("new").over(by_start)).groupBy("doc_id", "span")
+    merged = spans.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.select(*columns)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,3 +263,15 @@ def test_ordinary_sentences_of_abusive_labels_are_told_by_the_corpus(spark):
     assert [r.doc_id for r in found] == [200]
     tenfold = abuse.score_documents(spark.createDataFrame(data * 10, "doc_id long, text string"), labels).filter("abusive").distinct().collect()
     assert [r.doc_id for r in tenfold] == [200]
+
+
+def test_leaks_in_blocks_of_items(spark, monkeypatch):
+    """Items far beyond a block, one longer than it, give the rows and spans of a single block."""
+    words = [f"w{i}" for i in range(400)]
+    items = spark.createDataFrame([(i, " ".join(words[i * 20 : i * 20 + 30])) for i in range(15)] + [(99, " ".join(words)), (100, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, "x y " + " ".join(words[d * 9 : d * 9 + 12 + d]) + " z") for d in range(40)], "doc_id long, text string")
+    whole, spans = rows(leaks.find_leaks(docs, items)), rows(leaks.leaked_spans(docs, items))
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 100)
+    assert rows(leaks.find_leaks(docs, items)) == whole
+    assert rows(leaks.leaked_spans(docs, items)) == spans
+    assert {(d, 99) for d in range(40)} <= set(whole)
