@@ -27,16 +27,20 @@ ONE_BYTE = (
     ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "cp1256"), ("cp1252", "cp1251"),
     ("cp1251", "cp1252"), ("cp1256", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp1253"), ("cp1252", "cp437"), ("cp1251", "cp1256"), ("cp1256", "cp1251"),
 )
-#: Times that UTF-8 text may have been decoded wrongly in turn.
-DEPTH = 3
+#: Steps back up to which encodings that give the same text are told apart; beyond, one of them stands for all, or
+#: text misread many times would have a chain for every mixture.
+APART = 2
 #: Buckets of the character-pair model, smoothing, and characters that it tells apart.
 PAIRS, SMOOTH, BACKOFF, ALPHABET = 1 << 20, 0.05, 5.0, 4096
-#: Evidence is kept in whole nats between these bounds; the best so many chains of a value count.
-LOW, HIGH, KEPT = -3, 14, 2
+#: Least evidence of a chain in nats, evidence that decides alone (as that of a lost character does), what is told apart
+#: beyond it, and the distance from the best chain at which another has no weight.
+LOW, HIGH, MOST, NEGLIGIBLE = -3, 14, 80, 8
 #: Rounds of EM, values that the corpus prior counts for in each source, posterior that makes a value garbled.
 ROUNDS, STRENGTH, GARBLED = 12, 20.0, 0.5
 
 LOST = "�"
+#: The name of the chain of text that was lost.
+GONE = "lost"
 
 
 def _byte_of(encoding: str) -> dict[str, int]:
@@ -105,39 +109,54 @@ def undo_one_byte(text: str, read: str, written: str) -> str:
     return _WORD.sub(decode, text)
 
 
-#: The name of every chain, and its place in the order in which equal ones are tried.
-CHAINS = ["+".join([e] * n) for n in range(1, DEPTH + 1) for e in WRONG] + [f"{written}>{read}" for read, written in ONE_BYTE]
-ORDER = {name: k for k, name in enumerate(CHAINS)}
+def _steps(text: str, one_byte: bool) -> Iterator[tuple[str, str]]:
+    """Every single step back that changes ``text``: its name and the text before it."""
+    for encoding in WRONG:
+        undone = undo_utf8(text, encoding)
+        if undone != text:
+            yield encoding, undone
+    for read, written in ONE_BYTE if one_byte else ():
+        undone = undo_one_byte(text, read, written)
+        if undone != text:
+            yield f"{written}>{read}", undone
 
 
 def undo(text: str, chain: str) -> str:
-    """``text`` before ``chain``."""
-    if ">" in chain:
-        written, read = chain.split(">")
-        return undo_one_byte(text, read, written)
-    for encoding in chain.split("+"):
-        text = undo_utf8(text, encoding)
+    """``text`` before ``chain``, whose last step comes first."""
+    for step in chain.split("+"):
+        written, _, read = step.partition(">")
+        text = undo_one_byte(text, read, written) if read else undo_utf8(text, step)
     return text
 
 
 def rebuilt(text: str) -> dict[str, str]:
-    """The text before every chain that could have made ``text``."""
+    """The text before every chain that could have made ``text``: misread UTF-8 any number of times, by the same
+    encoding or others, with at most one misread one-byte encoding among these steps.
+
+    Each step back from misread UTF-8 makes the text shorter, so there is an end.
+    """
     found: dict[str, str] = {}
-    for encoding in WRONG:
-        name, undone = "", text
-        for _ in range(DEPTH):
-            before, undone = undone, undo_utf8(undone, encoding)
-            if undone == before:
-                break
-            name += ("+" if name else "") + encoding
-            found[name] = undone
-    for read, written in ONE_BYTE:
-        undone = undo_one_byte(text, read, written)
-        if undone != text:
-            found[f"{written}>{read}"] = undone
+    todo, depth, known = [("", text)], 0, set()
+    while todo:
+        depth, before = depth + 1, todo
+        todo = []
+        for name, after in before:
+            for step, undone in _steps(after, ">" not in name):
+                chain = f"{name}+{step}" if name else step
+                state = undone, ">" in chain
+                if depth <= APART or state not in known:
+                    found[chain] = undone
+                    known.add(state)
+                    if not undone.isascii():
+                        todo.append((chain, undone))
     return found
 
 
+def _plainness(chain: str) -> tuple[int, int, str]:
+    """Order in which equal chains are tried: few steps, then few kinds of them."""
+    return chain.count("+"), len(set(chain.split("+"))), chain
+
+
 def _symbols(text: str) -> np.ndarray:
     """Characters as the model sees them: letters and signs of ASCII by class, others by themselves, rare scripts by block."""
     c = np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
@@ -233,24 +252,29 @@ class Evidence:
             if not word.isascii():
                 for name, gain in self._gains(word).items():
                     gains[name] = gains.get(name, 0.0) + gain
-        lost = LOST in text
-        gains = {name: gain for name, gain in gains.items() if gain > LOW}
-        if not gains and not lost:
-            return None
+        least = max([LOW, *(g - NEGLIGIBLE for g in gains.values())])
         texts: dict[str, str] = {}
-        for name in sorted(gains, key=lambda c: (-gains[c], ORDER[c])):
+        for name in sorted((c for c, g in gains.items() if g > least), key=lambda c: (-gains[c], _plainness(c))):
             undone = undo(text, name)
-            if len(texts) < KEPT and undone != text and undone not in texts.values():
+            if undone != text and undone not in texts.values():
                 texts[name] = undone
+        # A replacement character is what a decoder writes for bytes that it can't read.
+        lost = [f"{GONE}:{HIGH}"] if LOST in text else []
         if not texts and not lost:
             return None
-        signature = ("lost " if lost else "") + " ".join(f"{c}:{int(np.clip(np.floor(gains[c]), LOW, HIGH))}" for c in texts)
-        return signature.strip(), list(texts), list(texts.values())
+        best = max((gains[c] for c in texts), default=0.0)
+        signature = lost + [f"{c}:{_nats(best) - round(best - gains[c])}" for c in texts]
+        return " ".join(signature), list(texts), list(texts.values())
+
+
+def _nats(gain: float) -> int:
+    """A gain in whole nats, coarser beyond what decides alone, so that there are few signatures."""
+    return int(np.floor(gain)) if gain < HIGH else HIGH + 2 * int(min(gain - HIGH, MOST) // 2)
 
 
-def _parse(signature: str) -> tuple[bool, list[tuple[str, float]]]:
-    parts = signature.split(" ")
-    return parts[0] == "lost", [(p.rpartition(":")[0], float(p.rpartition(":")[2])) for p in parts if p not in ("", "lost")]
+def _parse(signature: str) -> list[tuple[str, float]]:
+    """The chains of a signature with their evidence; text that was lost is a chain as well."""
+    return [(name, float(nats)) for name, _, nats in (part.rpartition(":") for part in signature.split(" "))]
 
 
 def expectation_maximisation(counts: dict[str, float], clean: float, prior: dict[str, float] | None = None, strength: float = 1.0) -> dict[str, float]:
@@ -258,7 +282,7 @@ def expectation_maximisation(counts: dict[str, float], clean: float, prior: dict
 
     ``prior`` counts as ``strength`` values of its shares.
     """
-    parsed = [(n, [("", 0.0), *_parse(s)[1]]) for s, n in counts.items()]
+    parsed = [(n, [("", 0.0), *_parse(s)]) for s, n in counts.items()]
     names = sorted({c for _, chains in parsed for c, _ in chains} | {""})
     start = prior or {c: (0.9 if not c else 0.1 / max(1, len(names) - 1)) for c in names}
     floor = min(start.values())
@@ -278,14 +302,12 @@ def expectation_maximisation(counts: dict[str, float], clean: float, prior: dict
 
 
 def posterior(signature: str, share: dict[str, float]) -> tuple[float, int]:
-    """Probability that the value is garbled, and which of its chains is likeliest."""
-    lost, chains = _parse(signature)
+    """Probability that the value is garbled, and which of the chains that can be undone is likeliest (-1: there is none)."""
     floor = min(share.values())
-    weights = [share.get(c, floor) * float(np.exp(g)) for c, g in chains]
-    whole = sum(weights) + share.get("", 0.0)
-    # Chains come best first; beyond the upper bound the evidence alone decides.
-    best = -1 if not weights else 0 if chains[0][1] >= HIGH else int(np.argmax(weights))
-    return (1.0 if lost else sum(weights) / whole), best
+    weights = {c: share.get(c, floor) * float(np.exp(g)) for c, g in _parse(signature)}
+    whole = sum(weights.values())
+    undone = [w for c, w in weights.items() if c != GONE]
+    return whole / (whole + share.get("", 0.0)), int(np.argmax(undone)) if undone else -1
 
 
 def find_garbled(values: DataFrame) -> DataFrame:
@@ -329,13 +351,13 @@ def find_garbled(values: DataFrame) -> DataFrame:
     grouped = by_signature.groupBy(*group).agg(F.collect_list(F.struct("signature", "n")).alias("seen")).join(sizes, group)
     judged = grouped.select(*group, F.explode(judge("seen", "size")).alias("j")).select(*group, "j.*").filter(F.col("garbled") > GARBLED)
     found = suspects.join(judged, [*group, "signature"])
-    lost = F.col("signature").startswith("lost")
+    lost = F.col("signature").startswith(f"{GONE}:")
     return found.select(
         "table_name",
         "row_id",
         "field_name",
         "text",
-        F.when(lost, "lost").otherwise(F.get("chains", "best")).alias("chain"),
+        F.when(lost, GONE).otherwise(F.get("chains", "best")).alias("chain"),
         F.when(~lost & (F.col("best") >= 0), F.get("texts", "best")).alias("restored"),
         "garbled",
     ).dropDuplicates(["table_name", "row_id", "field_name", "text"])

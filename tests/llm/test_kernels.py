@@ -217,6 +217,21 @@ def test_leaks_equal_brute_force(spark):
 # ------------------------------------------------------------------ 10
 
 
+@pytest.mark.parametrize("text", ["Café Größe über Ænlig", "Ærø smørrebrød på bordet"])
+@pytest.mark.parametrize("chain", [("cp1252", "mac_roman"), ("latin-1", "cp437"), ("cp1252", "cp1252"), ("latin-1", "latin-1", "latin-1", "latin-1"), ("cp1252", "latin-1", "mac_roman")])
+def test_mixed_chains_are_rebuilt(text, chain):
+    """UTF-8 misread by one encoding after another, as often as one likes."""
+    garbled = text
+    for encoding_ in chain:
+        garbled = garbled.encode("utf-8").decode(encoding_)
+    assert text in encoding.rebuilt(garbled).values()
+
+
+def test_one_byte_step_within_a_chain_is_rebuilt():
+    garbled = "Größe".encode("utf-8").decode("cp1252").encode("cp1252").decode("mac_roman")
+    assert "Größe" in encoding.rebuilt(garbled).values()
+
+
 @pytest.mark.parametrize(
     ("text", "words"),
     [("f o o l", ["fool"]), ("f00l", ["fool"]), ("idiiiiot", ["idiot"]), ("a@b.com is fine", ["is", "fine"]), ("y\u200bou", ["you"])],
