@@ -3,7 +3,11 @@
 A prefix-filter set-similarity join: a value and an entry are sets of letter pairs; pairs are ordered by
 their rarity over all values and entries, only the rare beginnings are looked up, length and position
 bound what can still reach the threshold, and the Jaccard similarity of what is left is computed exactly.
-The best entry is kept if it also reads like the value but for a slip of the pen.
+Verified then is that the entry reads like the value but for a slip of the pen, or that the value is its own
+word ("Karvel" for "North Karvel") and no other entry's. Codes are entries as well, which allow no slip.
+
+A long reference is worked off in blocks. What a block finds is ranked the same way within and between blocks,
+so their number changes no result.
 """
 
 from __future__ import annotations
@@ -12,24 +16,29 @@ import math
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm.forms import unify
-from siteloom.session import spread, table
+from siteloom.session import cut_lineage, spread, table
 
-#: Least Jaccard similarity of the join, and the one from which spelling needn't be looked at.
-THRESHOLD, SURE = 0.35, 0.9
+#: Least Jaccard similarity of the join.
+THRESHOLD = 0.35
 #: Entries of the reference that are broadcast at once; a longer list is worked off in blocks of that size.
 BLOCK = 100_000
 #: Buckets of the rarity counts; values a worker remembers (only speed depends on it).
 BUCKETS, REMEMBERED = 1 << 16, 200_000
 KINDS = ("country", "region", "city")
+#: Most letters of a code that is written with signs between them.
+CODE_LETTERS = 4
 
 #: Abbreviations of words in names, words around names that aren't part of them, letters without a decomposition.
 ABBREVIATIONS = {
@@ -73,6 +82,7 @@ def variants_of(value: str) -> list[list[str]]:
         if words and words not in found:
             found.append(words)
 
+    letters = words_of(re.sub(r"[\W_]", "", value))
     for text in (value, *_PARTS.split(value)):
         words = words_of(text)
         add(words)
@@ -81,6 +91,8 @@ def variants_of(value: str) -> list[list[str]]:
         add([w for w in whole if w not in AROUND])
         if whole and whole[0] in TITLES:
             add(whole[1:])
+    if len(letters) == 1 and len(letters[0]) <= CODE_LETTERS and len(value.strip()) <= 2 * len(letters[0]) + 1:
+        add(letters)  # a code, perhaps with dots or blanks
     return found
 
 
@@ -109,30 +121,71 @@ def _bucket(token: str) -> int:
 
 @dataclass(frozen=True)
 class Entry:
+    """A name of places, or a code of theirs; several places may share one."""
+
     ids: tuple[int, ...]
     words: tuple[str, ...]
     pairs: frozenset[str]
+    is_code: bool
+
+    @property
+    def core(self) -> str:
+        """The words that aren't found in many names; empty if there are no others."""
+        own = [w for w in self.words if w not in GENERIC]
+        return " ".join(own) if len(own) < len(self.words) and not self.is_code else ""
+
+
+class Found(NamedTuple):
+    """An entry that a value may mean. Smaller is better: slips, dissimilarity, place of the variant, then ids.
+
+    ``owners`` counts the entries whose own word the value is: 0 if it was found by its spelling.
+    """
+
+    apart: int
+    unlike: float
+    variant: int
+    ids: tuple[int, ...]
+    owners: int = 0
+
+
+def tied(found: list[Found]) -> Found | None:
+    """The best, with the ids of all that are as good."""
+    best = min(found, default=None)
+    return best and best._replace(ids=tuple(sorted({i for f in found if f[:3] == best[:3] for i in f.ids})))
+
+
+def best_of(found: Iterable[Found]) -> tuple[tuple[int, ...], float]:
+    """Ids and similarity of what is best by spelling, ties together; else of the only owner of the value as a word; none
+    and 0 without."""
+    held = sorted(found)
+    spelled = tied([f for f in held if not f.owners])
+    if spelled:
+        return spelled.ids, 1 - spelled.unlike
+    for variant in sorted({f.variant for f in held}):
+        own = [f for f in held if f.variant == variant]
+        if sum(f.owners for f in own) == 1:
+            return own[0].ids, 1 - own[0].unlike
+    return (), 0.0
 
 
 class Reference:
-    """The entries of one kind with the index over their rare beginnings."""
+    """The entries of one kind, or a block of them, with the index over their rare beginnings."""
 
     def __init__(self, rows: list[tuple[int, str, str | None]], rarity: np.ndarray) -> None:
         self.rarity = rarity
-        self.exact = frozenset(name for _, name, _ in rows)
-        self.codes = {re.sub(r"[^\w]", "", code).casefold(): (i,) for i, _, code in rows if code}
-        same: dict[tuple[str, ...], list[int]] = {}
-        for i, name, _ in rows:
-            same.setdefault(tuple(words_of(name)), []).append(i)
-        self.entries = [Entry(tuple(sorted(ids)), words, pairs_of(list(words))) for words, ids in same.items() if words]
+        same: dict[tuple[tuple[str, ...], bool], set[int]] = {}
+        for i, name, code in rows:
+            same.setdefault((tuple(words_of(name)), False), set()).add(i)
+            if code and (letters := words_of(re.sub(r"[\W_]", "", code))):
+                same.setdefault((tuple(letters), True), set()).add(i)
+        self.entries = [Entry(tuple(sorted(ids)), words, pairs_of(list(words)), is_code) for (words, is_code), ids in same.items() if words]
         self.index: dict[str, list[tuple[int, int]]] = {}
-        self.cores: dict[str, set[int]] = {}
+        self.owners: Counter[str] = Counter()
         for k, entry in enumerate(self.entries):
             for place, token in enumerate(self.prefix(entry.pairs)):
                 self.index.setdefault(token, []).append((k, place))
-            core = [w for w in entry.words if w not in GENERIC]
-            if 0 < len(core) < len(entry.words):
-                self.cores.setdefault(" ".join(core), set()).add(k)
+            if entry.core:
+                self.owners[entry.core] += 1
 
     def ordered(self, pairs: frozenset[str]) -> list[str]:
         return sorted(pairs, key=lambda t: (self.rarity[_bucket(t)], t))
@@ -162,37 +215,31 @@ class Reference:
                     found.append((similarity, k))
         return sorted(found, key=lambda x: (-x[0], x[1]))
 
-    def match(self, value: str) -> tuple[tuple[int, ...], float]:
-        """Ids of the entry (several of one name) that ``value`` means, with the similarity; none and 0."""
-        code = re.sub(r"[\W_]", "", value).casefold()
-        if code in self.codes and len(value.strip()) <= 2 * len(code) + 1:
-            return self.codes[code], 1.0
-        best: tuple[float, int, tuple[int, ...]] | None = None
-        for words in variants_of(value):
-            text, ordered = " ".join(words), " ".join(sorted(words))
-            pairs, allowed = pairs_of(words), 1 if len(text) < 10 else 2
-            for similarity, k in self.candidates(pairs):
-                entry = self.entries[k]
-                shared = round(similarity / (1 + similarity) * (len(pairs) + len(entry.pairs)))
-                # A slip changes up to three pairs, so entries that share fewer are further away.
-                if shared < max(len(pairs), len(entry.pairs)) - 3 * allowed:
-                    continue
-                apart = 0 if similarity == 1 else min(slips(text, " ".join(entry.words), allowed), slips(ordered, " ".join(sorted(entry.words)), allowed))
-                if apart <= allowed and (best is None or (-apart, similarity) > (-best[1], best[0])):
-                    best = (similarity, apart, entry.ids)
-            if best and best[1] == 0:
-                break
-        if best is None:
-            return self._core(value)
-        return best[2], best[0]
-
-    def _core(self, value: str) -> tuple[tuple[int, ...], float]:
-        """An entry whose own word stands alone, if there is only one such."""
-        for words in variants_of(value):
-            owners = self.cores.get(" ".join(w for w in words if w not in AROUND), ())
-            if len(owners) == 1:
-                return self.entries[next(iter(owners))].ids, THRESHOLD
-        return (), 0.0
+    def _verified(self, words: list[str], variant: int) -> Iterator[Found]:
+        text, ordered, core = " ".join(words), " ".join(sorted(words)), " ".join(w for w in words if w not in AROUND)
+        pairs, allowed = pairs_of(words), 1 if len(text) < 10 else 2
+        for similarity, k in self.candidates(pairs):
+            entry = self.entries[k]
+            shared = round(similarity / (1 + similarity) * (len(pairs) + len(entry.pairs)))
+            # A slip changes up to three pairs, so entries that share fewer are further away.
+            near = not entry.is_code and shared >= max(len(pairs), len(entry.pairs)) - 3 * allowed
+            if similarity == 1:
+                yield Found(0, 0.0, variant, entry.ids)
+            elif near and (apart := min(slips(text, " ".join(entry.words), allowed), slips(ordered, " ".join(sorted(entry.words)), allowed))) <= allowed:
+                yield Found(apart, 1 - similarity, variant, entry.ids)
+            elif entry.core and entry.core == core:
+                yield Found(allowed + 1, 1 - similarity, variant, entry.ids, self.owners[core])
+
+    def found(self, value: str) -> list[Found]:
+        """What decides about ``value`` within these entries: the best by spelling, or else the owners of it as a word."""
+        held = [f for variant, words in enumerate(variants_of(value)) for f in self._verified(words, variant)]
+        spelled = tied([f for f in held if not f.owners])
+        if spelled:
+            return [spelled]
+        first: dict[int, Found] = {}
+        for f in sorted(held):
+            first.setdefault(f.variant, f)
+        return list(first.values())
 
 
 class Matcher:
@@ -221,7 +268,7 @@ class Matcher:
             return tuple(exact), 1.0
         known = self._known.get((kind, value))
         if known is None:
-            known = self.kinds[kind].match(value)
+            known = best_of(self.kinds[kind].found(value))
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
             self._known[kind, value] = known
@@ -229,17 +276,25 @@ class Matcher:
 
     def address(self, country: str | None, region: str | None, city: str | None) -> list[tuple[str, str, int, float]]:
         """``(kind, value, place, similarity)`` of every value that isn't an entry's name as it stands."""
-        found, lands = [], []
-        for kind, value in zip(KINDS, (country, region, city)):
-            ids, similarity = self.ids_of(kind, value)
-            if len(ids) > 1 and lands:
-                own = [i for i in ids if self.country_of(i) == lands[0]]
-                ids = tuple(own) or ids
-            if ids and kind != "city":
-                lands.append(self.country_of(ids[0]))
-            if value is not None and value.strip() and value not in self.names[kind]:
-                found.append((kind, value, ids[0] if ids else 0, similarity))
-        return found
+        values = (country, region, city)
+        held = [self.ids_of(kind, value) for kind, value in zip(KINDS, values)]
+        exact = [value in self.names[kind] for kind, value in zip(KINDS, values)]
+        return settled(values, held, exact, self.country_of)
+
+
+def settled(
+    values: tuple[str | None, ...], held: list[tuple[tuple[int, ...], float]], exact: list[bool], country_of: Callable[[int], int | None]
+) -> list[tuple[str, str, int, float]]:
+    """The place of each value of an address: of several, one in the country that its country or region says."""
+    found, lands = [], []
+    for kind, value, (ids, similarity), known in zip(KINDS, values, held, exact):
+        if len(ids) > 1 and lands:
+            ids = tuple(i for i in ids if country_of(i) == lands[0]) or ids
+        if ids and kind != "city":
+            lands.append(country_of(ids[0]))
+        if value is not None and value.strip() and not known:
+            found.append((kind, value, ids[0] if ids else 0, similarity))
+    return found
 
 
 def _rarity(addresses: DataFrame, places: DataFrame) -> np.ndarray:
@@ -261,45 +316,106 @@ def _rarity(addresses: DataFrame, places: DataFrame) -> np.ndarray:
     return rarity
 
 
+SCHEMA = "address_id long, field_name string, value string, place_id long, similarity double"
+COLUMNS = ["address_id", "field_name", "value", "place_id", "similarity"]
+
+
 def map_places(addresses: DataFrame, places: DataFrame, *, address_id: str = "address_id") -> DataFrame:
     """``(address_id, field_name, value, place_id, similarity)`` for every value that is no entry's name.
 
-    0 where the list has no entry. Null and blank values don't come out; repeated rows do once. The
-    addresses aren't shuffled, whatever value or country holds most of them. Only the reference is
-    broadcast, in blocks of at most ``BLOCK`` entries, of which the best match counts.
+    0 where the list has no entry. Null and blank values don't come out; repeated rows do once. A reference of at
+    most ``BLOCK`` entries is broadcast whole and the addresses stay where they are, whatever value or country
+    holds most of them; a longer one is broadcast block by block to the distinct values. The results are the same.
     """
     rarity = _rarity(addresses, places)
+    if places.limit(BLOCK + 1).count() > BLOCK:
+        return _map_in_blocks(addresses, places, rarity, address_id)
+    shared = addresses.sparkSession.sparkContext.broadcast((_rows(places), rarity))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(*shared.value)
+        for batch in batches:
+            rows = [(i, *found) for i, *values in zip(batch[address_id], *(batch[k] for k in KINDS)) for found in matcher.address(*values)]
+            yield pd.DataFrame(rows, columns=COLUMNS)
+
+    return addresses.select(address_id, *KINDS).mapInPandas(match, SCHEMA).distinct()
+
+
+def _rows(places: DataFrame) -> list[tuple[int, str, str, str | None, int | None]]:
+    return sorted((tuple(r) for r in places.select("place_id", "kind", "name", "code", "parent_id").collect()), key=lambda r: r[0])
+
+
+def _map_in_blocks(addresses: DataFrame, places: DataFrame, rarity: np.ndarray, address_id: str) -> DataFrame:
+    """``map_places`` for a reference of any length: each block finds what it has for each distinct value, the best of
+    all blocks counts, and the addresses join their values."""
     context = addresses.sparkSession.sparkContext
-    number = places.count()
-    blocks = max(1, math.ceil(number / BLOCK))
-    schema = "address_id long, field_name string, value string, place_id long, similarity double"
-    parts = []
+    blocks = -(-places.count() // BLOCK)
+
+    @F.pandas_udf("string")
+    def spelled(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: " ".join(words_of(n)), na_action="ignore")
+
+    # Places of one name lie in one block.
+    parts = cut_lineage(places.filter("name IS NOT NULL").withColumn("_block", F.pmod(F.xxhash64("kind", spelled("name")), F.lit(blocks))))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in KINDS))).alias("v")
+    entered = addresses.select(F.col(address_id).alias("address_id"), *KINDS).distinct()
+    values = cut_lineage(entered.select(each).select("v.*").filter("length(trim(value)) > 0").distinct())
+    found = None
     for block in range(blocks):
-        own = places if blocks == 1 else places.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)
-        # Countries and regions stay in each block: they settle which of several cities is meant.
-        own = own if blocks == 1 else own.unionByName(places.filter("kind <> 'city'")).distinct()
-        shared = context.broadcast(([tuple(r) for r in own.select("place_id", "kind", "name", "code", "parent_id").collect()], rarity))
+        shared = context.broadcast((_rows(parts.filter(F.col("_block") == block)), rarity))
 
-        def match(batches: Iterator[pd.DataFrame], shared: object = shared) -> Iterator[pd.DataFrame]:
+        def match(batches: Iterator[pd.DataFrame], shared: Broadcast = shared) -> Iterator[pd.DataFrame]:
             matcher = Matcher(*shared.value)
             for batch in batches:
-                rows = [
-                    (i, kind, value, place, similarity)
-                    for i, country, region, city in zip(batch[address_id], *(batch[k] for k in KINDS))
-                    for kind, value, place, similarity in matcher.address(country, region, city)
-                ]
-                yield pd.DataFrame(rows, columns=["address_id", "field_name", "value", "place_id", "similarity"])
-
-        parts.append(addresses.select(address_id, *KINDS).mapInPandas(match, schema))
-    if blocks == 1:
-        return parts[0].distinct()
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    exact = places.select(F.col("kind").alias("field_name"), F.col("name").alias("value")).distinct()
-    best = F.max_by(F.struct("place_id", "similarity"), F.struct("similarity", -F.col("place_id")))
-    grouped = found.join(exact, ["field_name", "value"], "left_anti").groupBy("address_id", "field_name", "value").agg(best.alias("b"))
-    return grouped.select("address_id", "field_name", "value", "b.*")
+                rows = [(k, v, f.apart, f.unlike, f.variant, list(f.ids), f.owners) for k, v in zip(batch["kind"], batch["value"]) for f in matcher.kinds[k].found(v)]
+                yield pd.DataFrame(rows, columns=["kind", "value", "apart", "unlike", "variant", "ids", "owners"])
+
+        part = values.mapInPandas(match, "kind string, value string, apart int, unlike double, variant int, ids array<long>, owners int")
+        found = part if found is None else found.unionByName(part)
+
+    @F.pandas_udf("ids array<long>, similarity double")
+    def best(groups: pd.Series) -> pd.DataFrame:
+        chosen = [best_of(Found(f["apart"], f["unlike"], f["variant"], tuple(f["ids"]), f["owners"]) for f in g) for g in groups]
+        return pd.DataFrame([(list(ids), s) for ids, s in chosen], columns=["ids", "similarity"], index=groups.index)
+
+    held = found.groupBy("kind", "value").agg(F.collect_list(F.struct("apart", "unlike", "variant", "ids", "owners")).alias("g"))
+    spelled_ = held.select("kind", "value", best("g").alias("b")).select("kind", "value", "b.*")
+    exact = places.filter(F.col("kind").isin(*KINDS)).groupBy("kind", F.col("name").alias("value")).agg(F.array_sort(F.collect_set("place_id")).alias("own"))
+    resolved = values.join(spelled_, ["kind", "value"], "left").join(exact, ["kind", "value"], "left")
+    resolved = resolved.select("kind", "value", F.coalesce("own", "ids", F.array().cast("array<long>")).alias("ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.col("own").isNotNull().alias("known"))
+    # The country of each place, over any number of parents in between.
+    lands = _countries(places)
+    ids = resolved.select("kind", "value", F.posexplode_outer("ids").alias("at", "id")).join(lands.withColumnRenamed("place_id", "id"), "id", "left")
+    listed = F.array_sort(F.collect_list(F.struct("at", "id", "land")))
+    resolved = cut_lineage(resolved.drop("ids").join(ids.groupBy("kind", "value").agg(listed.alias("ids")), ["kind", "value"]))
+    joined = entered
+    for k in KINDS:
+        own = resolved.filter(F.col("kind") == k).select(F.col("value").alias(k), F.struct("ids", "similarity", "known").alias(f"_{k}"))
+        joined = joined.join(own, k, "left")
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, *entry in zip(batch["address_id"], *(batch[k] for k in KINDS), *(batch[f"_{k}"] for k in KINDS)):
+                values_, held_ = tuple(entry[:3]), [h or {"ids": [], "similarity": 0.0, "known": False} for h in entry[3:]]
+                places_ = [(tuple(x["id"] for x in h["ids"] if x["id"] is not None), h["similarity"]) for h in held_]
+                land = {x["id"]: x["land"] for h in held_ for x in h["ids"]}
+                rows += [(i, *f) for f in settled(values_, places_, [bool(h["known"]) for h in held_], land.get)]
+            yield pd.DataFrame(rows, columns=COLUMNS)
+
+    return joined.mapInPandas(settle, SCHEMA).distinct()
+
+
+def _countries(places: DataFrame) -> DataFrame:
+    """``(place_id, land)``: the country that each place lies in; null for none."""
+    own = cut_lineage(places.select("place_id", "kind", "parent_id").dropDuplicates(["place_id"]))
+    up = own.select("place_id", F.when(F.col("kind") == "country", F.col("place_id")).alias("land"), F.when(F.col("kind") != "country", F.col("parent_id")).alias("above"))
+    for _ in KINDS:
+        above = own.select(F.col("place_id").alias("above"), F.col("kind").alias("_k"), F.col("parent_id").alias("_p"))
+        step = up.join(above, "above", "left")
+        land = F.coalesce("land", F.when(F.col("_k") == "country", F.col("above")))
+        up = step.select("place_id", land.alias("land"), F.when(F.col("_k") != "country", F.col("_p")).alias("above"))
+    return up.select("place_id", "land")
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:

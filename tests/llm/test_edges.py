@@ -117,6 +117,32 @@ def test_places(spark):
     assert places.map_places(df.limit(0), reference).count() == 0
 
 
+def test_places_give_the_same_whatever_the_number_of_blocks(spark, monkeypatch):
+    """Slips, own words with one owner or two, codes, cities of two countries, and what is in no list."""
+    import random
+
+    rnd = random.Random(7)
+    names = ["".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(3)).title() for _ in range(60)]
+    lists = [(i, "country", n, n[:2].upper() + str(i) if i % 2 else n[:2].upper(), None) for i, n in enumerate(names[:6])]
+    lists += [(10 + i, "region", f"{rnd.choice(['North', 'Port', 'Upper'])} {n}", None, i % 6) for i, n in enumerate(names[6:30])]
+    lists += [(100 + i, "city", f"{rnd.choice(['New ', 'Port ', '', 'Mount '])}{n}", None, 10 + i % 24) for i, n in enumerate(names[6:60] + names[20:35])]
+    typed = []
+    for i in range(300):
+        values = []
+        for kind in ("country", "region", "city"):
+            text = rnd.choice([x for x in lists if x[1] == kind])[2 if rnd.random() < 0.9 else 3] or "Nowhere"
+            at = rnd.randrange(len(text))
+            values.append(rnd.choice([text, text.upper(), text[:at] + text[at + 1 :], text.split()[-1], "x" + text[::-1], None, " ", f"{text} (region)"]))
+        typed.append((i, *values))
+    reference = spark.createDataFrame(lists, PLACE)
+    df = spark.createDataFrame(typed, "address_id long, country string, region string, city string")
+    whole = rows(places.map_places(df, reference))
+    assert len({r[3] for r in whole}) > 20
+    for block in (7, 40):
+        monkeypatch.setattr(places, "BLOCK", block)
+        assert rows(places.map_places(df, reference)) == whole
+
+
 def test_places_in_blocks(spark, monkeypatch):
     data = [(1, None, "pariss", None, "France", None, None), (2, None, "lyons", None, None, None, None), (3, None, "munick", None, None, None, None), (4, None, "Atlantis", None, "france", None, None)]
     df, reference = spark.createDataFrame(data, ADDRESS), spark.createDataFrame(PLACES, PLACE)
