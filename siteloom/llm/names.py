@@ -13,8 +13,8 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,10 @@ from siteloom.llm.addresses import abbreviates
 from siteloom.llm.places import slips, words_of
 from siteloom.session import cut_lineage, spread, table
 
-#: Least Jaccard similarity of the join; a word in the names of more than this share of the sites is common.
+#: Jaccard similarity of names with their words set alike; words run together lose elements, so half of it is the least
+#: similarity of the join, for keys and verification alike. A word in the names of more than a share of the sites is common.
 THRESHOLD, COMMON = 0.25, 0.004
+LEAST = THRESHOLD / 2
 #: Letters of an element of the sets.
 LETTERS = 4
 #: Most elements of a name that may share just one with another.
@@ -36,16 +38,11 @@ REMEMBERED = 200_000
 #: Standard errors by which the sites of a common word exceed that share (p < 0.001), so a few sites make no word common; buckets of the rarity counts.
 SURE, BUCKETS = 3.29, 1 << 16
 
-#: Legal forms, words between names, words of trades, given names with their short forms.
+#: Legal forms, words between names, endings of words for trades in several languages, given names with their short forms.
 LEGAL = frozenset("inc incorporated ltd limited llc llp plc gmbh ag kg ohg ug co company corp corporation sa sas sarl srl sl bv nv ab oy as spa".split())
 BETWEEN = frozenset("and und et y e and the n of de of".split())
 EXTRAS = frozenset("sohne friends sons bros brothers since".split())
-TRADES = frozenset(
-    "dental clinic brewery roofing tailoring surgery veterinary landscaping bookshop logistics school music coffee house optics upholstery plumbing "
-    "joinery bakery printing consulting engineering patisserie backerei zahnarzte schreinerei kuchenstudio mobelwerkstatt menuiserie gartnerei cafeteria "
-    "librairie druckerei electricite clinica fleuriste cafe panaderia cremerie peluqueria carpinteria jardineria optica کافه تعمیرگاه اموزشگاه نانوایی "
-    "کلینیک چاپخانه نجاری فروشگاه".split()
-)
+TRADE_ENDINGS = ("ery", "ing", "erei", "erie", "eria")
 GIVEN = {
     "robert": "bob bobby rob robbie bert", "josephine": "josie jo fifi", "rebecca": "becky becca", "francisco": "paco pancho francis frank",
     "katherine": "kate kathy katie kat kathie cathy", "richard": "rick dick rich ricky", "alexander": "alex sandy xander sascha", "william": "bill will billy willy liam",
@@ -58,8 +55,7 @@ for _name, _short in GIVEN.items():
         _LONG.setdefault(_s, set()).add(_name)
 
 
-@dataclass(frozen=True)
-class Name:
+class Name(NamedTuple):
     """A name by kinds of words: ``rare`` ones say who, ``given`` and ``trade`` narrow it down."""
 
     rare: tuple[str, ...]
@@ -68,6 +64,11 @@ class Name:
     legal: tuple[str, ...]
 
 
+def _trades(common: frozenset[str]) -> frozenset[str]:
+    """Words that the corpus shows to be shared by many businesses; they say what one does, not who it is."""
+    return common - GIVEN.keys() - LEGAL - BETWEEN
+
+
 def parse(text: str | None, common: frozenset[str]) -> Name | None:
     """The name, or None where nothing says who it is. Abbreviated trades and given names count as such."""
     words = words_of(text) if text else []
@@ -79,7 +80,7 @@ def parse(text: str | None, common: frozenset[str]) -> Name | None:
         else:
             merged.append("\0" + w if len(w) == 1 else w)
     rare, given, trade, legal = [], [], [], []
-    trades = TRADES | (common - GIVEN.keys() - LEGAL - BETWEEN)
+    trades = _trades(common)
     for k, w in enumerate(merged):
         if w.startswith("\0"):
             w = w[1:]
@@ -94,7 +95,7 @@ def parse(text: str | None, common: frozenset[str]) -> Name | None:
             continue
         elif w in GIVEN or w in _LONG:
             given.append(w)
-        elif w in trades or len(w) >= 3 and any(t.startswith(w) or len(w) < 5 and abbreviates(w, t) for t in trades):
+        elif w in trades or w.endswith(TRADE_ENDINGS) and len(w) > 5 or any(_shortens(w, t) for t in trades):
             trade.append(w)
         else:
             rare.append(w)
@@ -110,7 +111,8 @@ MOST_CHANGED = 5 * MOST_SLIPS + 6 * MOST_JOINS
 
 
 def _allowed(word: str) -> int:
-    return 0 if len(word) < 5 or word > "͸" else 1 if len(word) < 7 else 2
+    """Slips that a word of any script may have."""
+    return 0 if len(word) < 5 else 1 if len(word) < 7 else 2
 
 
 def _rare_match(a: tuple[str, ...], b: tuple[str, ...]) -> list[tuple[str, float]] | None:
@@ -181,11 +183,24 @@ def _trade_match(a: tuple[str, ...], b: tuple[str, ...]) -> float | None:
     return 0.5 + 0.5 * sum(back) / len(back)
 
 
+def _shortens(word: str, trade: str) -> bool:
+    return len(word) > 2 and (trade.startswith(word) or len(word) < 5 and abbreviates(word, trade))
+
+
+def _told(a: Name, b: Name) -> Name:
+    """``a`` with those of its words taken for trades that shorten one of ``b``'s trades, unless none would be left."""
+    moved = [w for w in a.rare if any(_shortens(w, t) for t in b.trade)]
+    if not moved or len(moved) == len(a.rare):
+        return a
+    return a._replace(rare=tuple(w for w in a.rare if w not in moved), trade=(*a.trade, *moved))
+
+
 def similarity(a: Name, b: Name, weight: object) -> float:
     """Soft token similarity in [0, 1]; 0 for names of different businesses.
 
     ``weight(word)`` is larger for rarer words. Given names, trade and legal form count as one word each.
     """
+    a, b = _told(a, b), _told(b, a)
     given = _given_match(a.given, b.given)
     trade = None if given is None else _trade_match(a.trade, b.trade)
     rare = None if trade is None else _rare_match(a.rare, b.rare)
@@ -231,19 +246,19 @@ def keys_of(name: Name, rarity: np.ndarray, common: frozenset[str], known: bool)
     held = elements_of(name.rare)
     size = len(held)
     # Besides the threshold, no match lacks more than a few elements, so long names have a short beginning, too.
-    shared = max(math.ceil(THRESHOLD * size), size - MOST_CHANGED)
+    shared = max(math.ceil(LEAST * size), size - MOST_CHANGED)
     ordered = sorted(held, key=lambda t: (rarity[zlib.crc32(t.encode()) % BUCKETS], t))
-    kind = "whole" if all(_allowed(w) == 0 for w in name.rare) else "short" if shared <= 1 else "long"
+    kind = "whole" if all(_allowed(w) == 0 for w in name.rare) else "short" if size <= MOST_SHORT else "long"
     bases: list[int] = []
     for other in ("whole", "short", "long"):
         if kind == other == "whole":
             bases += [_code(letters) for letters in _run_together(name.rare)]
         elif kind == other == "long":
             bases += [_code(*sorted(pair)) for pair in combinations(ordered[: size - shared + 2], 2)]
-        # Half of the threshold is enough when verifying, so a short name has none of more than its elements over that.
-        elif {kind, other} != {"short", "long"} or size <= MOST_SHORT / (THRESHOLD / 2):
+        # A short name is similar to none of more than its elements over the threshold.
+        elif {kind, other} != {"short", "long"} or size <= MOST_SHORT / LEAST:
             kinds = (kind, other) if known else (other, kind)
-            bases += [_code(*kinds, t) for t in ordered[: size - math.ceil(THRESHOLD / 2 * size) + 1]]
+            bases += [_code(*kinds, t) for t in ordered[: size - math.ceil(LEAST * size) + 1]]
     trades = sorted({t for w in name.trade[: None if known else 1] for t in _full(w, common)})
     if known:
         trades.append("")
@@ -252,7 +267,7 @@ def keys_of(name: Name, rarity: np.ndarray, common: frozenset[str], known: bool)
 
 def _full(word: str, common: frozenset[str]) -> list[str]:
     """Words of trades that ``word`` is or abbreviates."""
-    trades = TRADES | (common - GIVEN.keys() - LEGAL - BETWEEN)
+    trades = _trades(common)
     longer = [t for t in trades if t.startswith(word) or word not in trades and len(word) < 5 and abbreviates(word, t)]
     return longer or [word]
 
@@ -356,8 +371,8 @@ def link_names(leads: DataFrame, candidates: DataFrame, *, website: str = "websi
             if found is None:
                 (x, xs), (y, ys) = of(a), of(b)
                 shared_ = len(xs & ys)
-                # The exact Jaccard similarity; words run together lose elements, so a part of it is enough.
-                found = similarity(x, y, weight) if shared_ >= THRESHOLD / 2 * (len(xs) + len(ys) - shared_) else 0.0
+                # The exact Jaccard similarity.
+                found = similarity(x, y, weight) if shared_ >= LEAST * (len(xs) + len(ys) - shared_) else 0.0
                 if len(known_pairs) > REMEMBERED:
                     known_pairs.clear()
                 known_pairs[a, b] = found
