@@ -36,8 +36,10 @@ REGIONAL = frozenset("province prov county region state upper upr north south ea
 SIGNIFICANT, SUPPORT = 10.83, 2
 #: Letters of the words of streets that two slips may tell apart under one number and place.
 TWICE = 7
-#: Buckets of word counts; most rewrites that reach the driver (they are abbreviations in use, not rows).
-BUCKETS, MOST_REWRITES = 1 << 16, 100_000
+#: Buckets of word counts.
+BUCKETS = 1 << 16
+#: Addresses of one place up to which their pairs are made in one task; more are split.
+TOGETHER = 2_000
 
 _POSTAL = re.compile(r"(?<![\w-])(?:[A-Za-z]{1,3}[- ])?(\d{5}|\d{3} \d{2})(?![\w])")
 _NUMBER = re.compile(r"(?<![\w])(?:#\s*)?(\d{1,4})(?:\s*[-/]?\s*([A-Za-z]))?(?![\w])")
@@ -190,46 +192,48 @@ def abbreviates(short: str, long: str) -> bool:
     return all(c in rest for c in short)
 
 
-def _likelihood(n11: np.ndarray, n1: np.ndarray, n_1: np.ndarray, n: float) -> np.ndarray:
-    """G-squared of a 2 x 2 table given its corner, margins and total."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cells = [(n11, n1 * n_1 / n), (n1 - n11, n1 * (n - n_1) / n), (n_1 - n11, (n - n1) * n_1 / n), (n - n1 - n_1 + n11, (n - n1) * (n - n_1) / n)]
-        return 2 * sum(np.where(o > 0, o * np.log(o / e), 0) for o, e in cells)
+def _likelihood() -> Column:
+    """G-squared of the 2 x 2 table of a pair of words from its corner ``n``, margins ``nx`` and ``ny`` and ``total``."""
+
+    def cell(seen: Column, margin: Column, other: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * F.col("total") / (margin * other))).otherwise(F.lit(0.0))
+
+    n, nx, ny, total = (F.col(c).cast("double") for c in ("n", "nx", "ny", "total"))
+    return 2 * (cell(n, nx, ny) + cell(nx - n, nx, total - ny) + cell(ny - n, total - nx, ny) + cell(total - nx - ny + n, total - nx, total - ny))
 
 
 def mine_rewrites(reps: DataFrame) -> dict[str, dict[str, list[str]]]:
     """Abbreviations in streets and in cities, with what they stand for, from rows that agree elsewhere.
 
-    Rows are paired by number, place and rarest street word, so blocks stay small whatever city or street
-    kind is common. A pair of words counts once for each such place. Kept are pairs whose likelihood ratio
-    is significant.
+    Rows that differ in one word have the rest in common, so each row has a key for each of its words but the rarest:
+    number, place and the other words. Under a key lie only the words that were left out, each once, so that no
+    place or street brings rows together. A pair of words counts once for each number and rarest word. Kept are
+    pairs whose likelihood ratio is significant, which is tested before anything reaches the driver; what does are
+    the abbreviations in use.
     """
     ranked = _rarest(reps).select("number", "rarest", "words", "city", "postal").distinct()
     place = F.explode(F.array_distinct(F.filter(F.array(F.concat(F.lit("c"), "city"), F.concat(F.lit("z"), "postal")), lambda x: F.length(x) > 1)))
-    keyed = ranked.withColumn("place", place)
-    a, b = keyed.alias("a"), keyed.alias("b")
-    same = (F.col("a.number") == F.col("b.number")) & (F.col("a.rarest") == F.col("b.rarest")) & (F.col("a.place") == F.col("b.place"))
-    both = a.join(b, same).filter("a.words != b.words OR a.city != b.city")
-    street = both.select(
-        F.lit("street").alias("field"), "a.number", "a.rarest", F.array_except("a.words", "b.words").alias("x"), F.array_except("b.words", "a.words").alias("y")
-    )
-    cities = both.filter("a.place LIKE 'z%' AND a.city != '' AND b.city != ''")
-    x, y = F.split("a.city", " "), F.split("b.city", " ")
-    city = cities.select(F.lit("city").alias("field"), "a.number", "a.rarest", F.array_except(x, y).alias("x"), F.array_except(y, x).alias("y"))
-    pairs = street.unionByName(city).filter("size(x) = 1 AND size(y) = 1").select("field", "number", "rarest", F.get("x", F.lit(0)).alias("x"), F.get("y", F.lit(0)).alias("y"))
-    counted = pairs.distinct().groupBy("field", "x", "y").agg(F.count("*").alias("n"))
+    streets = ranked.select("number", "rarest", place.alias("place"), F.col("words").alias("held"), F.lit("street").alias("field")).filter("size(held) > 1")
+    cities = ranked.filter("city <> '' AND postal <> ''")
+    cities = cities.select("number", "rarest", F.col("postal").alias("place"), F.split("city", " ").alias("held"), F.lit("city").alias("field"))
+    each = streets.unionByName(cities).distinct().select("*", F.explode(F.array_distinct("held")).alias("w")).filter("field = 'city' OR w <> rarest")
+    rest = F.array_join(F.array_except("held", F.array("w")), " ")
+    keyed = each.select("field", "number", "rarest", "w", F.xxhash64("field", "number", "rarest", "place", rest).alias("key"))
+    groups = keyed.groupBy("field", "number", "rarest", "key").agg(F.collect_set("w").alias("ws")).filter("size(ws) > 1")
+    x = groups.select("field", "number", "rarest", "ws", F.explode("ws").alias("x"))
+    pairs = x.select("field", "number", "rarest", "x", F.explode("ws").alias("y")).filter("x <> y").distinct()
+    counted = cut_lineage(pairs.groupBy("field", "x", "y").agg(F.count("*").alias("n")))
     shorter = counted.filter(f"n >= {SUPPORT} AND length(x) < length(y) AND substr(x, 1, 1) = substr(y, 1, 1)")
     ones = counted.groupBy("field", "x").agg(F.sum("n").alias("nx"))
-    total = {r["field"]: float(r["n"]) for r in counted.groupBy("field").agg(F.sum("n").alias("n")).collect()}
-    rows = shorter.join(ones, ["field", "x"]).join(ones.withColumnsRenamed({"x": "y", "nx": "ny"}), ["field", "y"]).limit(MOST_REWRITES + 1).toPandas()
-    if len(rows) > MOST_REWRITES:
-        raise ValueError("more rewrites than a language has abbreviations")
+    total = counted.groupBy("field").agg(F.sum("n").alias("total"))
+    tested = shorter.join(ones, ["field", "x"]).join(ones.withColumnsRenamed({"x": "y", "nx": "ny"}), ["field", "y"]).join(total, "field")
+    # The first letter and those in order: a pattern of the short word's letters with anything between them.
+    letters = F.concat(F.array_join(F.split("x", ""), ".*"), F.lit(".*"))
+    kept = tested.filter(_likelihood() >= SIGNIFICANT).filter(F.regexp_like("y", F.concat(F.lit("^"), letters))).select("field", "x", "y")
     found: dict[str, dict[str, list[str]]] = {"street": {}, "city": {}}
-    for field, part in rows.groupby("field"):
-        ratio = _likelihood(*(part[c].to_numpy(float) for c in ("n", "nx", "ny")), total[field])
-        for short, long, g in sorted(zip(part["x"], part["y"], ratio)):
-            if g >= SIGNIFICANT and abbreviates(short, long):
-                found[field].setdefault(short, []).append(long)
+    for r in sorted(kept.collect()):
+        if abbreviates(r["x"], r["y"]):
+            found[r["field"]].setdefault(r["x"], []).append(r["y"])
     return found
 
 
@@ -264,11 +268,16 @@ def normalised(words: list[str], city: str, rules: dict[str, dict[str, list[str]
     return " ".join(sorted(core)), sorted(kinds), " ".join(places)
 
 
-def _deletions(text: Column) -> Column:
-    """Hashes of the text and of it without one letter: texts one slip apart share one."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    shorter = F.transform(at, lambda i: F.xxhash64(F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))))
-    return F.array_distinct(F.concat(shorter, F.array(F.xxhash64(text))))
+def _halves(text: Column) -> Column:
+    """Beginnings and ends of a text, one of which is the same in any text one slip away.
+
+    A slip leaves as many letters at the beginning or at the end as half of the shorter text has, so each text has
+    those of its own length and of one less.
+    """
+    n = F.length(text)
+    ends = F.array(*(F.greatest(F.lit(0), F.floor((n - k) / 2)).cast("int") for k in (1, 2)))
+    begun = F.transform(ends, lambda h: F.concat(F.lit("<"), F.substring(text, F.lit(1), h)))
+    return F.array_distinct(F.concat(begun, F.transform(ends, lambda h: F.concat(F.lit(">"), F.substring(text, n - h + 1, h)))))
 
 
 def _parts(city: Column) -> Column:
@@ -320,7 +329,7 @@ def one_word_apart(a: str, b: str) -> bool:
 
 
 def _fit() -> Column:
-    return F.arrays_overlap("a.kinds", "b.kinds") | (F.size("a.kinds") == 0) | (F.size("b.kinds") == 0)
+    return F.arrays_overlap("kinds_a", "kinds_b") | (F.size("kinds_a") == 0) | (F.size("kinds_b") == 0)
 
 
 def respelled(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -339,17 +348,19 @@ def respelled(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def keyed(df: DataFrame) -> DataFrame:
         place = F.explode(F.filter(F.array(F.concat(F.lit("c"), "city"), F.concat(F.lit("z"), "postal")), lambda x: F.length(x) > 1)).alias("place")
-        parts = df.select("*", place).select("*", F.explode(_thirds(F.col("core"))).alias("part"))
-        return parts.withColumn("key", F.xxhash64("number", "place", "part")).select("id", "number", "core", "kinds", "often", "place", "key")
+        parts = df.select("id", "number", "core", place).select("id", "number", "place", F.explode(_thirds(F.col("core"))).alias("part"))
+        return parts.select("id", F.xxhash64("number", "place", "part").alias("key")).distinct()
 
+    texts = ("id", "number", "core", "kinds", "city", "postal", "often")
     known, edges, fresh = rows, None, rows
     while True:
-        a, b = keyed(fresh).alias("a"), keyed(rows).alias("b")
-        better = (F.col("b.often") > F.col("a.often")) | ((F.col("b.often") == F.col("a.often")) & (F.col("b.core") < F.col("a.core")))
-        same = (F.col("a.key") == F.col("b.key")) & (F.col("a.number") == F.col("b.number")) & (F.col("a.place") == F.col("b.place"))
+        ids = keyed(fresh).withColumnRenamed("id", "id_a").join(keyed(rows).withColumnRenamed("id", "id_b").hint("merge"), "key").select("id_a", "id_b").distinct()
+        a, b = fresh.select(*(F.col(c).alias(f"{c}_a") for c in texts)), rows.select(*(F.col(c).alias(f"{c}_b") for c in texts))
+        better = (F.col("often_b") > F.col("often_a")) | ((F.col("often_b") == F.col("often_a")) & (F.col("core_b") < F.col("core_a")))
+        same = (F.col("number_a") == F.col("number_b")) & ((F.col("city_a") != "") & (F.col("city_a") == F.col("city_b")) | (F.col("postal_a") != "") & (F.col("postal_a") == F.col("postal_b")))
         # A slip is at most two changes of single letters.
-        both = a.join(b, same & better & _fit()).filter("levenshtein(a.core, b.core, 4) >= 0")
-        pairs = both.select("a.id", F.col("a.core").alias("old"), F.col("b.core").alias("core"), F.col("b.often").alias("often")).distinct().filter(near("old", "core"))
+        both = ids.join(a, "id_a").join(b, "id_b").filter(same & better & _fit()).filter("levenshtein(core_a, core_b, 4) >= 0")
+        pairs = both.select(F.col("id_a").alias("id"), F.col("core_a").alias("old"), F.col("core_b").alias("core"), F.col("often_b").alias("often")).distinct().filter(near("old", "core"))
         best = pairs.groupBy("id").agg(F.min_by(F.struct("core", "often"), F.struct(-F.col("often"), "core")).alias("best"))
         forms = fresh.drop("core", "often").join(best, "id").select(F.col("id").alias("a"), "number", "best.core", "kinds", "city", "postal", "best.often")
         forms = cut_lineage(forms.withColumn("id", F.xxhash64("number", "core", "kinds", "city", "postal")))
@@ -364,38 +375,56 @@ def respelled(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def match(reps: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of different spellings that denote one location; ``a < b``.
 
-    Candidates share the number, the street name up to a slip, and the postal code or a part of the city;
-    every pair that ``alike`` accepts is one. Each is then compared in full.
+    Candidates share the number, half of the street name, and the postal code or a part of the city; every pair that
+    ``alike`` accepts is one. Only hashes and ids go through that join. Texts are fetched for the candidates, and
+    each is compared in full.
     """
     rows = reps.select("id", "number", "core", "kinds", "city", "postal")
-    named, placed = F.length("city") > 0, F.length("postal") > 0
-    names = F.explode(_deletions(F.col("core"))).alias("name")
-    by_city = rows.filter(named).select("*", names).select("*", F.explode(_parts(F.col("city"))).alias("part")).withColumn("key", F.xxhash64(F.lit("A"), "number", "part", "name"))
-    by_code = rows.filter(placed).select("*", names).withColumn("key", F.xxhash64(F.lit("C"), "number", "postal", "name"))
-    keyed = by_city.drop("name", "part").unionByName(by_code.drop("name"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.number") == F.col("b.number")))
-    pairs = both.filter(_fit()).select("a.id", *(F.col(f"{t}.{c}").alias(f"{c}_{t}") for t in "ab" for c in ("core", "city", "postal")), F.col("b.id").alias("other")).distinct()
+    half = F.explode(_halves(F.col("core"))).alias("half")
+    by_city = rows.filter("city <> ''").select("id", "number", "city", half).select("id", F.explode(_parts(F.col("city"))).alias("part"), "number", "half")
+    by_code = rows.filter("postal <> ''").select("id", F.concat(F.lit("z"), "postal").alias("part"), "number", half)
+    keyed = by_city.unionByName(by_code).select("id", F.xxhash64("number", "part", "half").alias("key")).distinct()
+    ids = _pairs_of_keys(keyed)
+    a, b = (rows.select(*(F.col(c).alias(f"{c}_{t}") for c in rows.columns)) for t in "ab")
+    pairs = ids.join(a, "id_a").join(b, "id_b").filter("number_a = number_b").filter(_fit())
+    # One slip in the street, at most two in the city: changes of single letters, twice as many for letters that swap.
+    near = pairs.filter("levenshtein(core_a, core_b, 2) >= 0 AND (city_a = '' OR city_b = '' OR levenshtein(city_a, city_b, 4) >= 0)")
 
     @F.pandas_udf("boolean")
     def compared(core_a: pd.Series, core_b: pd.Series, city_a: pd.Series, city_b: pd.Series, postal_a: pd.Series, postal_b: pd.Series) -> pd.Series:
         return pd.Series([alike(*parts) for parts in zip(core_a, core_b, city_a, city_b, postal_a, postal_b)], dtype=bool)
 
-    good = pairs.filter(compared("core_a", "core_b", "city_a", "city_b", "postal_a", "postal_b"))
-    return good.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    good = near.filter(compared("core_a", "core_b", "city_a", "city_b", "postal_a", "postal_b"))
+    return good.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _pairs_of_keys(keyed: DataFrame, *, key: str = "key", item: str = "id") -> DataFrame:
+    """Distinct pairs ``(id_a, id_b)`` of items that share a key, ``id_a < id_b``.
+
+    Items of a key that has more than ``TOGETHER`` are split into parts, and each pair of parts is a task's work.
+    """
+    sized = keyed.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    held = keyed.join(sized, key).withColumn("_parts", F.ceil(F.col("_n") / TOGETHER).cast("int")).drop("_n")
+    held = held.withColumn("_part", F.pmod(F.xxhash64(item, F.lit(1)), "_parts").cast("int"))
+    # The part of the one and the part of the other, in order; a group that isn't split has the one pair (0, 0).
+    left = held.select(key, F.col(item).alias("id_a"), F.col("_part").alias("_l"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_r"))
+    right = held.select(key, F.col(item).alias("id_b"), F.col("_part").alias("_r"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_l"))
+    return left.join(right.hint("merge"), [key, "_l", "_r"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """``(id, location)``: the least id that each id is linked to over any number of pairs.
 
-    Each round writes its labels to the shared folder; groups of spellings are small, so few rounds do.
+    In each round an id takes the least label of its neighbours and then the label of its label, so that chains
+    halve. Rounds write their labels to the shared folder.
     """
-    edges = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("location"))
     while True:
-        spread_ = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("location").alias("least"))
-        renewed = labels.join(spread_, labels["id"] == spread_["a"]).select("id", F.least("location", "least").alias("location"), "location")
-        renewed = cut_lineage(renewed.toDF("id", "location", "older"))
+        nearest = edges.join(labels.select(F.col("id").alias("b"), "location"), "b").groupBy(F.col("a").alias("id")).agg(F.min("location").alias("least"))
+        hooked = cut_lineage(labels.join(nearest, "id").select("id", F.least("location", "least").alias("location"), F.col("location").alias("older")))
+        above = hooked.select(F.col("id").alias("location"), F.col("location").alias("higher"))
+        renewed = cut_lineage(hooked.join(above, "location", "left").select("id", F.least("location", F.coalesce("higher", "location")).alias("location"), "older"))
         if not renewed.filter("location <> older").limit(1).count():
             return renewed.select("id", "location")
         labels = renewed.select("id", "location")
@@ -442,10 +471,9 @@ def _normalise(parsed: DataFrame, rules: dict, words_only: bool = False) -> Data
 
 
 def same_location(located: DataFrame) -> DataFrame:
-    """Pairs of different ids of one location, smaller first."""
-    a, b = located.alias("a"), located.alias("b")
-    both = a.join(b, (F.col("a.location") == F.col("b.location")) & (F.col("a.address_id") < F.col("b.address_id")))
-    return both.select(F.col("a.address_id").alias("address_id_a"), F.col("b.address_id").alias("address_id_b")).distinct()
+    """Pairs of different ids of one location, smaller first. Locations of many rows are split over tasks."""
+    keyed = located.select(F.col("location").alias("key"), F.col("address_id").alias("id")).distinct()
+    return _pairs_of_keys(keyed).toDF("address_id_a", "address_id_b")
 
 
 def p6_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
