@@ -1,10 +1,8 @@
 """Bringing visually identical text to one form (problem 4).
 
-A transducer reads text by grapheme clusters and writes the usual form in one pass. Its table is compiled
-once from rules (widths and presentation forms, canonical compositions, spaces, unseen
-characters) and checked for conflicts; longer clusters win over their parts. Look-alike letters of another
-script, Arabic forms of Persian letters and joiners come after it, judged by the word they stand in; their
-tables aren't part of the check.
+The transducer of ``forms`` reads text by grapheme clusters and writes the usual form in one pass. Its table is
+compiled from rules and checked for conflicts, look-alike letters and Persian letters by the script of the word
+included; longer clusters win over their parts.
 """
 
 from __future__ import annotations

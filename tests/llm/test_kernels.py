@@ -114,6 +114,21 @@ def test_plain_text_keeps_its_form(text):
     assert forms.unify(text) == text
 
 
+@pytest.mark.parametrize(
+    ("text", "form"),
+    [("\u0430 bakery", "a bakery"), ("\u0430 bakery \u0438 \u0444", "\u0430 bakery \u0438 \u0444"), ("\u1112\u1161\u11ab", "\ud55c"), ("\u0420\u043e\u0441\u0441\u0438\u044fa", "\u0420\u043e\u0441\u0441\u0438\u044f\u0430"),
+     ("\u0915\u094d\u0937", "\u0915\u094d\u0937"), ("\U0001f469\u200d\U0001f680", "\U0001f469\u200d\U0001f680"), ("\u0646\u0645\u0648\u0646\u0647\u200c\u0643\u0627\u0631", "\u0646\u0645\u0648\u0646\u0647\u200c\u06a9\u0627\u0631"), ("\u1e9a\u0301", "\u1e9a\u0301")],
+)
+def test_forms_by_cluster_and_script(text, form):
+    assert forms.unify(text) == form
+
+
+def test_conflicting_rules_are_refused(monkeypatch):
+    monkeypatch.setitem(forms.GREEK, "\u0410", "X")  # a Cyrillic letter with another form
+    with pytest.raises(forms.Conflict):
+        forms.compile_contexts(forms.compile_table())
+
+
 # ------------------------------------------------------------------ 5
 
 
