@@ -27,6 +27,8 @@ ONLY_ARABIC = frozenset("ةإ")
 UNSEEN = "­͏؜ᅟᅠ឴឵᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 SPACES = "               　"
 HYPHENS = "‐‑"
+#: Clusters looked at after a joiner.
+AHEAD = 32
 JOINERS = "‌‍"
 
 
@@ -128,6 +130,8 @@ _WIDE_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏＡ-Ｚａ-ｚﬀ-ﬆ]")
 _ARABIC_LETTER = re.compile(r"[ؠ-يٮ-ۓۺ-ۿً-ٟ]")
 _ALPHABETS = ((GREEK_WORD, re.compile(r"[Ͱ-Ͽ]")), (CYRILLIC_WORD, re.compile(r"[Ѐ-ԯ]")))
 _JOINED = re.compile(r"[\u200c\u200d]+")
+#: Where a text was cut short: a mark for what is left out, or its end. A joiner before it was that of a whole word.
+_CUT = re.compile(r"\s*(?:\.{3}|…|\[(?:more|…)\]|$)")
 #: What makes a word's script or a joiner matter.
 _TELLING = re.compile("[" + re.escape("".join({*LATIN_FORMS, *ARABIC})) + "\u0370-\u03ff\u0400-\u052f" + "\u200c\u200d\ufb50-\ufeff]")
 _PRESENTED = frozenset(c for c in map(chr, range(0xFB50, 0xFF00)) if set(unicodedata.normalize("NFKC", c)) & ONLY_ARABIC)
@@ -167,9 +171,10 @@ def _script(word: list[str], around: Surroundings, lookalikes: dict[str, str], t
 
 
 def _joiner(run: str, before: str, after: str) -> str:
-    """What stays of a run of joiners: the non-joiner inside Persian words, the joiner inside emoji."""
+    """What stays of a run of joiners: the non-joiner inside Persian words, cut ones too, and the joiner inside emoji."""
     if run[0] == "\u200c":
-        return "\u200c" if before and after and _ARABIC_LETTER.match(before) and _ARABIC_LETTER.match(after) else ""
+        return "\u200c" if before and _ARABIC_LETTER.match(before) and (_ARABIC_LETTER.match(after) or _CUT.match(after)) else ""
+    after = after[:1]
     pictures = before and after and unicodedata.category(before)[0] in "SMC" and unicodedata.category(after)[0] == "S"
     return "\u200d" if pictures else ""
 
@@ -206,13 +211,13 @@ def unify(text: str | None) -> str | None:
     last = ""
     for k, form in enumerate(forms):
         if JOINERS[0] in form or JOINERS[1] in form:
-            following = next((f.lstrip(JOINERS)[:1] for f in forms[k + 1 :] if f.lstrip(JOINERS)), "")
+            following = "".join(forms[k + 1 : k + 1 + AHEAD]).lstrip(JOINERS)
             parts, pieces = _JOINED.split(form), _JOINED.findall(form)
             # Joiners that end this cluster and begin the next are one run: the first of them speaks for all.
             form = parts[0]
             for run, part in zip(pieces, parts[1:]):
                 before = (form or last)[-1:]
-                form += ("" if before in JOINERS and before else _joiner(run, before, (part or following)[:1])) + part
+                form += ("" if before in JOINERS and before else _joiner(run, before, part or following)) + part
             if not form:
                 continue
         last = form

@@ -117,7 +117,8 @@ def test_plain_text_keeps_its_form(text):
 @pytest.mark.parametrize(
     ("text", "form"),
     [("\u0430 bakery", "a bakery"), ("\u0430 bakery \u0438 \u0444", "\u0430 bakery \u0438 \u0444"), ("\u1112\u1161\u11ab", "\ud55c"), ("\u0420\u043e\u0441\u0441\u0438\u044fa", "\u0420\u043e\u0441\u0441\u0438\u044f\u0430"),
-     ("\u0915\u094d\u0937", "\u0915\u094d\u0937"), ("\U0001f469\u200d\U0001f680", "\U0001f469\u200d\U0001f680"), ("\u0646\u0645\u0648\u0646\u0647\u200c\u0643\u0627\u0631", "\u0646\u0645\u0648\u0646\u0647\u200c\u06a9\u0627\u0631"), ("\u1e9a\u0301", "\u1e9a\u0301")],
+     ("\u0915\u094d\u0937", "\u0915\u094d\u0937"), ("\U0001f469\u200d\U0001f680", "\U0001f469\u200d\U0001f680"), ("\u0646\u0645\u0648\u0646\u0647\u200c\u0643\u0627\u0631", "\u0646\u0645\u0648\u0646\u0647\u200c\u06a9\u0627\u0631"), ("\u1e9a\u0301", "\u1e9a\u0301"),
+     ("\u0647\u0645 \u0645\u06cc\u200c...", "\u0647\u0645 \u0645\u06cc\u200c..."), ("caf\u00e9\u200c...", "caf\u00e9..."), ("\u0645\u06cc\u200c x", "\u0645\u06cc x")],
 )
 def test_forms_by_cluster_and_script(text, form):
     assert forms.unify(text) == form
