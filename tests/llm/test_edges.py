@@ -54,6 +54,43 @@ def test_survivors(spark):
     assert survivors.survivors(spark.createDataFrame([], LEAD)).count() == 0
 
 
+def test_bundles_of_addresses_keep_functional_dependencies(spark):
+    leads = spark.createDataFrame([(i, f"https://{s}.com/", None, f"text number {i} of a real shop", "en", ["x@a.com"], at(2), at(5), at(9)) for i, s in enumerate("aabbcc")], LEAD)
+    usual = [(100 + i, 99, "Side 1", "Lyon", "Rhone", "69001", "France", None) for i in range(4)] + [(110 + i, 99, "Side 1", "Nice", "Azur", "06000", "France", None) for i in range(4)]
+    own = [
+        # The street's code is of Lyon, so the fuller place in Nice can't be its own.
+        (1, 0, "Main 5", None, None, "69001", None, None), (2, 1, None, "Nice", "Azur", None, "France", None), (3, 1, None, "lyon", "Rhone", None, "France", None),
+        # A city in another region than all others have it in makes no bid.
+        (4, 2, "Oak 1", "Nice", "Rhone", None, "France", None), (5, 3, "Oak 1", "Nice", "Azur", None, None, None),
+        # Nothing fits: the more trusted stays, the other is left out.
+        (6, 4, "Elm 1", None, None, "06000", None, None), (7, 5, None, "Lyon", "Rhone", None, "France", None),
+    ]
+    places = spark.createDataFrame(usual + own, "address_id long, lead_id long, street string, city string, region string, postal_code string, country string, formatted string")
+    found = {(r.site, r.bundle): r.lead_id for r in survivors.survivors(leads, extended(twice(places))).collect()}
+    assert {k: v for k, v in found.items() if k[1] in ("place", "street")} == {("a.com", "place"): 3, ("a.com", "street"): 1, ("b.com", "place"): 5, ("b.com", "street"): 4, ("c.com", "place"): 7}
+    records = {r.site: r for r in survivors.surviving_records(leads, places).collect()}
+    assert (records["a.com"].street, records["a.com"].postal_code, records["a.com"].city) == ("Main 5", "69001", "lyon")
+    assert records["c.com"].street is None
+    assert survivors.survivors(leads, places.limit(0)).filter("bundle IN ('place', 'street')").count() == 0
+
+
+def test_more_bids_are_asked_for_until_a_choice_is_certain(spark):
+    """The only place that fits the streets is far behind, beyond what is kept at first."""
+    names = "bdfgklmnprst"
+    leads = spark.createDataFrame([(i, "https://a.com/", None, None, None, None, at(2), at(5), at(9)) for i in range(40)], LEAD)
+    full = [(i, i, None, f"Town{names[i]}", "R", None, "C", None) for i in range(12)]
+    rest = [(20, 20, "Main 1", None, None, "11111", None, None), (21, 21, None, "Fits", None, None, None, None)]
+    usual = [(100 + i, 999, "x 1", "Fits", None, "11111", None, None) for i in range(5)]
+    places = spark.createDataFrame(full + rest + usual, "address_id long, lead_id long, street string, city string, region string, postal_code string, country string, formatted string")
+    found = {r.bundle: r.lead_id for r in survivors.survivors(leads, places).collect()}
+    assert (found["place"], found["street"]) == (21, 20)
+
+
+def test_contradicting_dates_stand_for_themselves(spark):
+    data = [(1, "https://a.com/", None, None, None, None, at(20), at(3), at(30)), (2, "https://a.com/", None, None, None, None, at(21), at(4), at(30))]
+    assert rows(survivors.survivors(spark.createDataFrame(data, LEAD))) == [("a.com", "first_seen", 1), ("a.com", "last_seen", 2)]
+
+
 # ------------------------------------------------------------------ 2, 4
 
 
