@@ -79,7 +79,8 @@ def main(argv: list[str] | None = None) -> int:
                 sys.stdout.write(export.render(rows, kind, excel_bom=args.excel_bom, preserve_order=True))
             return 0
         page = wanted.run(leads)
-        print(query.listing_text(page.rows))
+        for line in query.listing_lines(page.rows):
+            print(line)
         if wanted.paged:
             print(query.page_summary(page), file=sys.stderr)
         return 0

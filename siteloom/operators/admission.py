@@ -161,11 +161,30 @@ def admit_by_windows(
     ranks can't tell the order's result: crawls with such links, and only those, go through the ordered pass.
     ``seq`` is unique within a crawl.
     """
+    return decide(cut_lineage(read_links(links, rules=rules, as_of=as_of, crawl_id=crawl_id, seq=seq, url=url, base=base, seed=seed)), rules=rules, as_of=as_of)
+
+
+def read_links(
+    links: DataFrame,
+    *,
+    rules: UrlRules = DEFAULT,
+    as_of: date | None = None,
+    crawl_id: str = "crawl_id",
+    seq: str = "seq",
+    url: str = "url",
+    base: str | None = None,
+    seed: str | None = None,
+) -> DataFrame:
+    """What ``decide`` asks of links, each read once where it lies; those without an address are left out."""
     null = F.lit(None).cast("string")
     own = [F.col(crawl_id).cast("long").alias("crawl_id"), F.col(seq).cast("long").alias("seq"), F.col(url).alias("raw")]
     own += [(F.col(base) if base else null).alias("base"), (F.col(seed) if seed else null).alias("seed")]
     read = links.select(*own).filter("raw IS NOT NULL").withColumn("d", C.link("raw", "base", "seed", rules, as_of))
-    rows = cut_lineage(read.select("crawl_id", "seq", "raw", "base", "seed", "d.url", "d.reason", "d.detail", "d.key", "d.path", "d.variant", "d.calendar"))
+    return read.select("crawl_id", "seq", "raw", "base", "seed", "d.url", "d.reason", "d.detail", "d.key", "d.path", "d.variant", "d.calendar")
+
+
+def decide(rows: DataFrame, *, rules: UrlRules = DEFAULT, as_of: date | None = None) -> DataFrame:
+    """``(crawl_id, seq, raw, url, reason, allowed)`` of links that were read, by ranks; see ``admit_by_windows``."""
     fine, refused = rows.filter("reason IS NULL"), rows.filter("reason IS NOT NULL")
     nth = F.row_number().over(Window.partitionBy("crawl_id", "key").orderBy("seq"))
     ranked = fine.withColumn("_n", nth)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from siteloom import schemas
 from siteloom.functions import columns as C
 from siteloom.functions.rules import DEFAULT, UrlRules
-from siteloom.operators.admission import admit_in_order
-from siteloom.session import cut_lineage
+from siteloom.operators.admission import decide, read_links
+from siteloom.session import cut_lineage, numbered
 
 #: Redirects that a fetch follows, and body bytes that it reads.
 MOST_REDIRECTS, MOST_BYTES = 5, 5 << 20
@@ -67,51 +67,83 @@ def follow_redirects(starts: DataFrame, hops: DataFrame, *, url: str = "url", lo
 
 
 def replay(
-    seeds: DataFrame, edges: DataFrame, *, max_depth: int | None = None, max_pages: int | None = None, rules: UrlRules = DEFAULT, as_of: date | None = None
+    seeds: DataFrame,
+    edges: DataFrame,
+    *,
+    max_depth: int | None = None,
+    max_pages: int | None = None,
+    rules: UrlRules = DEFAULT,
+    as_of: date | None = None,
+    fetched: DataFrame | None = None,
 ) -> DataFrame:
-    """Breadth-first crawl over known links: ``(crawl_id, url, depth, parent_url, status)``.
+    """Breadth-first crawl over known links: ``(crawl_id, url, depth, parent_url, status, seq)``.
 
-    ``seeds`` has ``crawl_id`` and ``url``; ``edges`` has ``url``, ``position`` and ``href`` of fetched pages. Each
-    level is one job whose frontier is written to the shared folder. Links are admitted in the order in
-    which a crawler meets them; those beyond ``max_pages`` are skipped but stay known. Without ``max_depth`` or
-    ``max_pages`` each crawl has its own in that column of ``seeds``; null is no limit. It ends when no crawl
-    has pages to follow.
+    ``seeds`` has ``crawl_id`` and ``url``; ``edges`` has ``url``, ``position`` and ``href`` of fetched pages. Links are
+    admitted in the order in which a crawler meets them; those beyond ``max_pages`` are skipped but stay known. Without
+    ``max_depth`` or ``max_pages`` each crawl has its own in that column of ``seeds``; null is no limit. It ends when no
+    crawl has pages to follow. ``fetched`` may say what became of pages: of ``url``, ``final_url`` and ``content_type``,
+    those that lead to a page known before are ``duplicate``, those that aren't HTML ``not_html``, and neither has links.
+
+    Each level is one job whose frontier is written to the shared folder. A link is read once, at its level; what was
+    admitted is kept as it was read. Links of a crawl are numbered and judged over all tasks, however many it has.
     """
     own = {"max_depth": max_depth, "max_pages": max_pages}
     limits = cut_lineage(seeds.select("crawl_id", *((F.col(c) if given is None else F.lit(given)).cast("long").alias(f"_{c}") for c, given in own.items())).distinct())
-    level = seeds.select("crawl_id", "url", F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("seq"))
-    level = level.withColumn("url", C.normal_url("url", rules=rules, default_scheme="https")).filter("url IS NOT NULL")
-    known = cut_lineage(level.select("crawl_id", "url", "parent_url", F.lit(0).alias("depth"), F.lit("pending").alias("status"), F.col("seq").cast("long").alias("seq")))
-    frontier, depth = known, 0
+    seed = seeds.select("crawl_id", F.regexp_extract("url", r"^(?:https?://)?([^/:]+)", 1).alias("_seed")).dropDuplicates(["crawl_id"])
+    level = seeds.select("crawl_id", C.normal_url("url", rules=rules, default_scheme="https").alias("url")).filter("url IS NOT NULL").distinct()
+    level = level.join(seed, "crawl_id").withColumn("seq", F.lit(0).cast("long"))
+    known = cut_lineage(read_links(level, rules=rules, as_of=as_of, seed="_seed"))
+    pages = level.select("crawl_id", "url", F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("depth"), F.lit("pending").alias("status"), "seq")
+    pages = cut_lineage(_settled(pages, fetched, known, rules) if fetched is not None else pages)
+    done, depth = pages, 0
     while True:
         depth += 1
-        frontier = frontier.join(limits.filter(F.col("_max_depth").isNull() | (F.col("_max_depth") >= depth)).select("crawl_id"), "crawl_id", "left_semi")
+        open_ = limits.filter(F.col("_max_depth").isNull() | (F.col("_max_depth") >= depth)).select("crawl_id")
+        frontier = pages.filter("status = 'pending'").join(open_, "crawl_id", "left_semi")
         if not frontier.limit(1).count():
-            break
-        found = frontier.join(edges, "url").select(
-            "crawl_id", F.col("url").alias("parent_url"), "href", F.struct("seq", "position").alias("_o")
-        )
-        links = found.withColumn("n", F.row_number().over(Window.partitionBy("crawl_id").orderBy("_o")))
-        # Links known before come first, so that the gate counts and refuses them in order.
-        before = known.select("crawl_id", F.col("url").alias("href"), F.lit(None).cast("string").alias("parent_url"), F.col("seq").alias("n"), F.lit(0).alias("_new"))
-        both = before.unionByName(links.select("crawl_id", "href", "parent_url", "n", F.lit(1).alias("_new")))
-        ordered = cut_lineage(both.withColumn("_n", F.row_number().over(Window.partitionBy("crawl_id").orderBy("_new", "n"))))
-        seed = seeds.select("crawl_id", F.regexp_extract("url", r"^(?:https?://)?([^/:]+)", 1).alias("seed"))
-        decided = admit_in_order(ordered.join(seed, "crawl_id"), rules=rules, as_of=as_of, seq="_n", url="href", base="parent_url", seed="seed")
-        fresh = ordered.filter("_new = 1").join(decided.filter("allowed").select("crawl_id", F.col("seq").alias("_n"), "url"), ["crawl_id", "_n"])
-        size = known.groupBy("crawl_id").agg(F.count("*").alias("_size"), F.max("seq").alias("_last"))
-        rank = F.row_number().over(Window.partitionBy("crawl_id").orderBy("_n"))
-        added = fresh.join(size, "crawl_id").join(limits, "crawl_id").withColumn("_r", rank)
-        pages = added.select(
-            "crawl_id", "url", "parent_url", F.lit(depth).alias("depth"),
-            F.when(F.col("_size") + F.col("_r") > F.col("_max_pages"), "skipped").otherwise("pending").alias("status"), (F.col("_last") + F.col("_r")).alias("seq"),
-        )
-        pages = cut_lineage(pages)
+            return done
+        found = frontier.select("crawl_id", F.col("url"), "seq").join(edges, "url").select("crawl_id", F.col("url").alias("parent_url"), "href", F.col("seq").alias("_s"), F.col("position").alias("_p"))
+        links = numbered(found.join(seed, "crawl_id"), ["crawl_id"], ["_s", "_p", "href"], "_n")
+        last = done.groupBy("crawl_id").agg(F.max("seq").alias("_last"), F.count("*").alias("_size"))
+        links = links.join(last, "crawl_id").withColumn("seq", F.col("_last") + F.col("_n"))
+        fresh = cut_lineage(read_links(links, rules=rules, as_of=as_of, url="href", base="parent_url", seed="_seed"))
+        # What was admitted before comes first, and so is admitted again as it stands.
+        admitted = decide(known.unionByName(fresh), rules=rules, as_of=as_of).filter("allowed").select("crawl_id", "seq")
+        admitted = fresh.join(admitted, ["crawl_id", "seq"], "left_semi")
+        ranked = numbered(admitted.select("crawl_id", "seq", "url", F.col("base").alias("parent_url")), ["crawl_id"], ["seq"], "_r").join(last, "crawl_id").join(limits, "crawl_id")
+        status = F.when(F.col("_size") + F.col("_r") > F.col("_max_pages"), "skipped").otherwise("pending")
+        pages = ranked.select("crawl_id", "url", "parent_url", F.lit(depth).alias("depth"), status.alias("status"), "seq")
+        known = cut_lineage(known.unionByName(admitted))
+        pages = cut_lineage(_settled(pages, fetched, known, rules) if fetched is not None else pages)
         if not pages.limit(1).count():
-            break
-        known = cut_lineage(known.unionByName(pages))
-        frontier = pages.filter("status = 'pending'")
-    return known
+            return done
+        done = cut_lineage(done.unionByName(pages))
+
+
+def _settled(pages: DataFrame, fetched: DataFrame, known: DataFrame, rules: UrlRules) -> DataFrame:
+    """``pages`` with the status of those that led to another known page, or to what isn't HTML."""
+    held = fetched.select(F.col("url"), F.col("final_url").alias("_final"), C.content_type_problem("content_type", rules).isNotNull().alias("_other")).dropDuplicates(["url"])
+    moved = pages.join(held, "url", "left").withColumn("_key", F.when(F.col("_final") != F.col("url"), C.dedupe_key("_final", rules)))
+    targets = known.select("crawl_id", F.col("key").alias("_key"), F.col("url").alias("_known")).filter("_key IS NOT NULL").dropDuplicates(["crawl_id", "_key"])
+    joined = moved.join(targets, ["crawl_id", "_key"], "left")
+    copy = F.col("_known").isNotNull() & (F.col("_known") != F.col("url"))
+    status = F.when(F.col("status") != "pending", F.col("status")).when(copy, "duplicate").when(F.coalesce("_other", F.lit(False)), "not_html").otherwise("pending")
+    return joined.select("crawl_id", "url", "parent_url", "depth", status.alias("status"), "seq")
+
+
+def replay_report(pages: DataFrame, limits: DataFrame) -> DataFrame:
+    """One row for each replayed crawl: its pages by status and depth, and why it stopped.
+
+    ``limits`` has ``crawl_id``, ``max_depth`` and ``max_pages``. The reason is ``max_pages`` where pages were skipped,
+    ``max_depth`` where the last level that was allowed was reached, else ``completed``.
+    """
+    by_depth = pages.groupBy("crawl_id", "depth").agg(F.count("*").alias("n"))
+    depths = by_depth.groupBy("crawl_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("depth", "n")))).alias("pages_by_depth"), F.max("depth").alias("deepest"))
+    states = ("pending", "skipped", "duplicate", "not_html")
+    counts = pages.groupBy("crawl_id").agg(F.count("*").alias("pages"), *(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in states))
+    reason = F.when(F.col("skipped") > 0, "max_pages").when(F.col("deepest") >= F.col("max_depth"), "max_depth").otherwise("completed")
+    joined = counts.join(depths, "crawl_id").join(limits.select("crawl_id", "max_depth", "max_pages").dropDuplicates(["crawl_id"]), "crawl_id", "left")
+    return joined.select("crawl_id", "pages", *states, "pages_by_depth", "deepest", reason.alias("stop_reason"))
 
 
 def lifecycle(status: Column, stop_reason: Column) -> Column:
@@ -130,10 +162,10 @@ def resumable(status: Column) -> Column:
 
 
 def rate_schedule(requests: DataFrame, *, host: str = "host", order: str = "seq", delay: float = 1.0, start: float = 0.0, deadline: float | None = None) -> DataFrame:
-    """Starts of requests, evenly apart for each host; null for those after the deadline."""
-    n = F.row_number().over(Window.partitionBy(host).orderBy(order))
-    at = F.lit(start) + (n - 1) * F.lit(delay)
-    return requests.withColumn("starts_at", at if deadline is None else F.when(at < deadline, at))
+    """Starts of requests, evenly apart for each host; null for those after the deadline. A host's requests are numbered
+    over all tasks."""
+    at = F.lit(start) + (F.col("_request") - 1) * F.lit(delay)
+    return numbered(requests, [host], [order], "_request").withColumn("starts_at", at if deadline is None else F.when(at < deadline, at)).drop("_request")
 
 
 def pages_by_id(pages: DataFrame, key: str = "id") -> DataFrame:

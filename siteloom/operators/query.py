@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, fields, replace
 from datetime import datetime
 
@@ -249,17 +249,26 @@ def listing(leads: DataFrame) -> DataFrame:
     return leads.select(*(F.coalesce(F.size(counts[c]), F.lit(0)).cast("bigint").alias(c) if c in counts else F.col(c) for c in LISTING))
 
 
-def listing_text(rows: DataFrame, *, most: int = MOST_ROWS) -> str:
-    """Tab-separated text of a listing of at most ``most`` rows; a hyphen for missing values."""
+def listing_lines(rows: DataFrame) -> Iterator[str]:
+    """Tab-separated lines of a listing, its head first; a hyphen for missing values. Rows come a partition at a time."""
 
     def cell(value: object) -> str:
         text = "-" if value is None else value.isoformat() if isinstance(value, datetime) else str(value)
         return " ".join("".join(" " if c < " " or "\x7f" <= c <= "\x9f" else c for c in text).split()) or "-"
 
-    held = listing(rows).limit(most).collect()
-    if not held:
-        return "No leads found."
-    return "\n".join(["\t".join(LISTING), *("\t".join(map(cell, r)) for r in held)])
+    lines = ("\t".join(map(cell, r)) for r in listing(rows).toLocalIterator())
+    first = next(lines, None)
+    if first is None:
+        yield "No leads found."
+        return
+    yield "\t".join(LISTING)
+    yield first
+    yield from lines
+
+
+def listing_text(rows: DataFrame) -> str:
+    """All lines of a listing; for what fits into memory."""
+    return "\n".join(listing_lines(rows))
 
 
 def page_summary(page: LeadPage) -> str:

@@ -6,7 +6,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", **conf: object) -> SparkSession:
@@ -57,6 +58,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """``df`` with the number of each row within its group, from 1, in order.
+
+    Rows are sorted by ranges and counted by partition, so a group of any size is spread over all tasks; only counts of
+    groups by partition come together. Rows that tie have some order.
+    """
+    by = [F.col(c) for c in (*group, *order)]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    placed = cut_lineage(placed.withColumn("__part", F.shiftright("__at", 33)))
+    spans = placed.groupBy(*group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    earlier = F.sum("__rows").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("__before", F.coalesce(earlier, F.lit(0))).drop("__rows")
+    spans = spans.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.col("__part").alias("__p"), "__first", "__before")
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    joined = placed.join(spans, same).withColumn(name, F.col("__at") - F.col("__first") + F.col("__before") + 1)
+    return joined.select(*df.columns, name)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once, so that they need no copy of it."""
     context = spark.sparkContext
