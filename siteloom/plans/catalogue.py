@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 from datetime import date
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import columns as C
 from siteloom.functions.rules import UrlRules
 from siteloom.operators import admission, crawl, leads, query, store
-from siteloom.session import cut_lineage, table
+from siteloom.session import shared_folder, cut_lineage, table
 from siteloom.sources import export
 from siteloom.sources import pages as sources
 from siteloom.sources.robots import robots
@@ -644,8 +643,7 @@ def stream_lead_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     single = os.path.isfile(path)
     rows = reader.option("pathGlobFilter", "page_leads.parquet").parquet(sf_dir) if single else reader.parquet(path)
     sightings = leads.from_sightings(rows.drop("domain")).withColumn("seq", F.col("lead_id"))
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="leads-", dir=root.removeprefix("file://") if root and os.path.isdir(root.removeprefix("file://")) else None)
+    folder = shared_folder(spark, "leads")
     target = LeadTable(spark, folder)
     merge_stream(sightings, target, f"{folder}/checkpoint", validate=False).awaitTermination()
     return target.read().withColumn("emails", F.array_join("emails", "|")).select("domain", "business_name", "language", "emails", "first_seen", "last_seen")
