@@ -326,6 +326,19 @@ def _page_row(page: pages.Page | None) -> dict[str, object] | None:
     return row
 
 
+def page_identity(html: Column | str, url: Column | str) -> Column:
+    """The business that a page belongs to, with the source of its name; null where the address is unusable."""
+
+    def kernel(text: str | None, source_url: str | None) -> dict[str, object] | None:
+        try:
+            found = None if text is None or source_url is None else identity.identity_of_page(pages.parse(text, source_url), source_url)
+        except Rejected:
+            return None
+        return {k: v for k, v in found._asdict().items() if k != "candidates"} if found else None
+
+    return F.udf(kernel, schemas.BUSINESS_IDENTITY, useArrow=True).asNondeterministic()(_col(html), _col(url))
+
+
 def parsed_page(html: Column | str, url: Column | str | None = None) -> Column:
     """Everything that is read from a document; parsed once, however many fields are used."""
     f = F.udf(lambda h, u: None if h is None else _page_row(pages.parse(h, u)), schemas.PAGE, useArrow=True).asNondeterministic()

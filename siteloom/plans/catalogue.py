@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import columns as C
 from siteloom.functions.rules import UrlRules
 from siteloom.operators import admission, crawl, leads, query, store
-from siteloom.session import shared_folder, cut_lineage, table
+from siteloom.session import cut_lineage, shared_folder, table
 from siteloom.sources import export
 from siteloom.sources import pages as sources
 from siteloom.sources.robots import robots
@@ -27,16 +27,18 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def added(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
             SQL[f.__name__] = sql
         return f
 
-    return register
+    return added
 
 
+_query = register
+
 # ---------------------------------------------------------------- shared inputs
 
 
@@ -251,7 +253,12 @@ def ssrf_host_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.select("host", F.coalesce(C.host_block_reason("host"), F.lit("ok")).alias("result"))
 
 
-@_query()
+@_query(
+    f"WITH {PAGES_SQL}, {URL_SQL}"
+    + r", k AS (SELECT crawl_id, id, normal, row_number() OVER (PARTITION BY crawl_id, regexp_replace(regexp_replace(normal, '^https?:', ''), '^//www\.', '//') ORDER BY id) AS r,"
+    r" TRY_CAST(regexp_extract(normal, '[?&]page=([0-9]+)', 1) AS BIGINT) AS page FROM n)"
+    " SELECT crawl_id, id AS seq, NOT (coalesce(page, 0) > 50 OR r > 1) AS allowed, normal AS url, CASE WHEN page > 50 THEN 'trap_pagination' WHEN r > 1 THEN 'duplicate' END AS reason FROM k"
+)
 def url_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL through the gate of its crawl, in order."""
     pages = _pages(spark, sf_dir, "crawl_id", "url")
@@ -370,7 +377,7 @@ def crawl_bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.replay(seeds, edges.distinct(), as_of=AS_OF).select("crawl_id", "url", "depth", "status")
 
 
-@_query()
+@_query(f"WITH {PAGES_SQL}, {URL_SQL} SELECT 'https://sitemaps.example/' || crawl_id || '-' || (id % 64) || '.xml' AS sitemap, normal AS url, 1 AS depth FROM n")
 def sitemap_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses of sitemaps made of all crawled URLs: one file for each crawl below one index."""
     pages = _pages(spark, sf_dir, "crawl_id", "url")
@@ -538,14 +545,6 @@ def lead_metadata_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads.fill_metadata(rows, key="host", sequence="metadata_id", fields=["title", "description", "keywords", "twitter_card"])
 
 
-@_query(f"WITH {LEADS_SQL} SELECT count(*) AS leads, 0 AS bad FROM l")
-def lead_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal forms are valid but for impossible dates, which are set aside here."""
-    judged = leads.problems(_leads(spark, sf_dir).withColumn("first_seen", F.least("first_seen", "last_seen")))
-    bad = F.size(F.filter("problems", lambda p: ~p.startswith("invalid phone")))
-    return judged.agg(F.count("*").alias("leads"), F.count(F.when(bad > 0, 1)).cast("int").alias("bad"))
-
-
 #: The checks of ``leads.problems`` that the columns of ``l`` can fail. Websites and domains of ``l`` come of one another, and the table has no profiles.
 _CHECKS_SQL = {
     "website is required": "domain IS NULL OR domain = ''",
@@ -556,6 +555,13 @@ _CHECKS_SQL = {
 }
 
 
+@_query(f"WITH {LEADS_SQL} SELECT count(*) AS leads, count(*) FILTER (" + " OR ".join(f"({bad})" for bad in _CHECKS_SQL.values()) + ") AS bad FROM l")
+def lead_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many leads in normal form there are, and how many have any problem."""
+    judged = leads.problems(_leads(spark, sf_dir))
+    return judged.agg(F.count("*").alias("leads"), F.count(F.when(F.size("problems") > 0, 1)).alias("bad"))
+
+
 @_query(
     f"WITH {LEADS_SQL}, f AS (" + " UNION ALL ".join(f"SELECT '{text}' AS problem, lead_id FROM l WHERE {bad}" for text, bad in _CHECKS_SQL.items()) + ")"
     " SELECT problem, count(*) AS leads FROM f GROUP BY problem"
@@ -722,3 +728,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from siteloom.plans import derived  # noqa: E402, F401 - registers its queries here

@@ -7,6 +7,9 @@ from siteloom.functions.pages import METADATA_FIELDS
 URL = "struct<url string, scheme string, host string, port int, path string, query string, segments array<string>, params array<struct<name string, value string>>>"
 DECISION = "struct<allowed boolean, raw string, url string, reason string, detail string>"
 LINK = DECISION[:-1] + ", key string, path string, variant string, calendar string>"
+BUSINESS_IDENTITY = (
+    "struct<website string, domain string, business_name string, name_source string, conflict boolean, description string, description_source string>"
+)
 IDENTITY = "struct<domain string, host string, website string, scheme string, port int, path string>"
 SCOPE = "struct<allowed boolean, reason string, detail string>"
 CANONICAL = "struct<url string, reason string, changed boolean>"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date
 from xml.parsers import expat
 
@@ -106,28 +106,60 @@ def sitemap(body: Column | str, most_bytes: int = MOST_BYTES) -> Column:
     return F.udf(lambda b: None if b is None else parse_sitemap(bytes(b), most_bytes), schemas.SITEMAP, useArrow=True).asNondeterministic()(column)
 
 
+def _read_levels(files: DataFrame, roots: DataFrame, rules: UrlRules, most_depth: int) -> Iterator[tuple[int, DataFrame]]:
+    """Files by their distance from the roots, each once: ``(sitemap, s)``, where ``s`` is null for one that isn't there.
+
+    After ``most_depth`` comes one more level, of files that are named but too deep.
+    """
+    parsed = cut_lineage(files.select(C.normal_url("url", rules=rules).alias("sitemap"), sitemap("body").alias("s")))
+    level = cut_lineage(roots.select(C.normal_url("url", rules=rules).alias("sitemap")).filter("sitemap IS NOT NULL").distinct())
+    seen = level
+    for depth in range(most_depth + 2):
+        held = level.join(parsed, "sitemap", "left")
+        yield depth, held
+        inner = held.filter("s.status = 'ok' AND s.kind = 'sitemapindex'").select(F.explode("s.locs").alias("loc")).filter(F.col("loc").rlike(r"(?i)^https?://"))
+        level = cut_lineage(inner.select(C.normal_url("loc", rules=rules).alias("sitemap")).filter("sitemap IS NOT NULL").distinct().join(seen, "sitemap", "left_anti"))
+        if not level.limit(1).count():
+            return
+        seen = cut_lineage(seen.unionByName(level))
+
+
 def expand(files: DataFrame, roots: DataFrame, *, rules: UrlRules = DEFAULT, most_depth: int = MOST_DEPTH) -> DataFrame:
     """``(sitemap, url, position, depth)`` of every page address below the roots, over many sites at once.
 
     ``files`` has ``url`` and ``body``; ``roots`` has ``url``. One job for each depth; a file is read once, so
-    cycles end. Counting limits need the order of one discovery: see ``Discovery``.
+    cycles end. What was left out, and why, ``file_outcomes`` tells.
     """
-    parsed = cut_lineage(files.select(C.normal_url("url", rules=rules).alias("sitemap"), sitemap("body").alias("s")).filter("s.status = 'ok'"))
-    level = cut_lineage(roots.select(C.normal_url("url", rules=rules).alias("sitemap")).filter("sitemap IS NOT NULL").distinct())
-    seen, pages = level, None
-    for depth in range(most_depth + 1):
-        held = parsed.join(level, "sitemap")
-        locs = held.filter("s.kind = 'urlset'").select("sitemap", F.posexplode("s.locs").alias("position", "loc"))
+    pages = None
+    for depth, held in _read_levels(files, roots, rules, most_depth):
+        if depth > most_depth:
+            break
+        locs = held.filter("s.status = 'ok' AND s.kind = 'urlset'").select("sitemap", F.posexplode("s.locs").alias("position", "loc"))
         found = locs.select("sitemap", C.normal_url("loc", "sitemap", rules=rules).alias("url"), "position", F.lit(depth).alias("depth")).filter("url IS NOT NULL")
         pages = found if pages is None else pages.unionByName(found)
-        inner = held.filter("s.kind = 'sitemapindex'").select(F.explode("s.locs").alias("loc")).filter(F.col("loc").rlike(r"(?i)^https?://"))
-        level = cut_lineage(inner.select(C.normal_url("loc", rules=rules).alias("sitemap")).filter("sitemap IS NOT NULL").distinct().join(seen, "sitemap", "left_anti"))
-        if not level.limit(1).count():
-            break
-        seen = cut_lineage(seen.unionByName(level))
     return pages
 
 
+def file_outcomes(files: DataFrame, roots: DataFrame, *, rules: UrlRules = DEFAULT, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """``(sitemap, depth, outcome, kind, locs, usable, empty_locs, missing_locs, truncated)``: what became of every file that
+    the roots lead to.
+
+    The outcome is that of parsing (``ok``, ``too_large``, ``empty``, ``unsafe``, ``malformed``, ``unsupported``), ``not_fetched``
+    for a file that isn't there, or ``too_deep``. ``truncated`` says that a file has more addresses than are read.
+    """
+    found = None
+    for depth, held in _read_levels(files, roots, rules, most_depth):
+        outcome = F.lit("too_deep") if depth > most_depth else F.coalesce("s.status", F.lit("not_fetched"))
+        usable = F.size(F.filter("s.locs", lambda u: u.rlike(r"(?i)^https?://")))
+        none = F.lit(0)
+        row = held.select(
+            "sitemap", F.lit(depth).alias("depth"), outcome.alias("outcome"), F.col("s.kind").alias("kind"), F.coalesce(F.size("s.locs"), none).alias("locs"), F.coalesce(usable, none).alias("usable"),
+            F.coalesce("s.empty_locs", none).alias("empty_locs"), F.coalesce("s.missing_locs", none).alias("missing_locs"), F.coalesce("s.truncated", F.lit(False)).alias("truncated"),
+        )
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 class Discovery:
     """Sitemaps of one site in document order, within limits, through a function from URL to (status, body)."""
 

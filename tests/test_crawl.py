@@ -233,3 +233,20 @@ def test_expansion_of_many_sites(spark):
     found = rows(sitemap.expand(files, roots).select("sitemap", "url", "depth"))
     assert ("https://e.com/1.xml", "https://e.com/b", 1) in found
     assert len(found) == 6
+
+
+def test_outcomes_of_sitemap_files(spark):
+    index = lambda *urls: "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in urls) + "</sitemapindex>"
+    files = {
+        "https://e.com/0.xml": index("https://e.com/1.xml", "https://e.com/bad.xml", "https://e.com/gone.xml", "https://e.com/0.xml", "/relative.xml"),
+        "https://e.com/1.xml": index("https://e.com/2.xml"),
+        "https://e.com/2.xml": "<urlset><url><loc>https://e.com/x</loc></url><url><loc> </loc></url><url></url></urlset>",
+        "https://e.com/bad.xml": "<urlset><url>",
+    }
+    df = spark.createDataFrame([(u, b.encode()) for u, b in files.items()], "url string, body binary")
+    roots = spark.createDataFrame([("https://e.com/0.xml",)], "url string")
+    found = {r.sitemap.rsplit("/", 1)[1]: (r.depth, r.outcome, r.locs, r.usable, r.empty_locs, r.missing_locs) for r in sitemap.file_outcomes(df, roots).collect()}
+    assert found == {"0.xml": (0, "ok", 5, 4, 0, 0), "1.xml": (1, "ok", 1, 1, 0, 0), "bad.xml": (1, "malformed", 0, 0, 0, 0), "gone.xml": (1, "not_fetched", 0, 0, 0, 0), "2.xml": (2, "ok", 1, 1, 1, 1)}
+    shallow = {r.sitemap.rsplit("/", 1)[1]: r.outcome for r in sitemap.file_outcomes(df, roots, most_depth=1).collect()}
+    assert shallow["2.xml"] == "too_deep"
+    assert rows(sitemap.expand(df, roots).select("url", "depth")) == [("https://e.com/x", 2)]
