@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
             if args.output:
                 export.write(args.output, rows, kind, excel_bom=args.excel_bom, preserve_order=True)
             else:
-                sys.stdout.write(export.render(rows, kind, excel_bom=args.excel_bom, preserve_order=True))
+                sys.stdout.writelines(export.parts(rows, kind, excel_bom=args.excel_bom, preserve_order=True))
             return 0
         page = wanted.run(leads)
         for line in query.listing_lines(page.rows):

@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.functions import columns as C
-from siteloom.operators import admission, people, store
-from siteloom.plans.catalogue import PAGES_SQL, URL_SQL, register
+from siteloom.functions.rules import DEFAULT
+from siteloom.operators import admission, crawl, people, query, store
+from siteloom.plans.catalogue import FOLD_SQL, LEADS_SQL, PAGES_SQL, URL_SQL, register
+from siteloom.plans.catalogue import _flat as flat
+from siteloom.plans.catalogue import _folded as folded
 from siteloom.session import table
+from siteloom.sources import export
 
 AS_OF = date(2026, 1, 1)
 
@@ -259,3 +263,166 @@ def person_mailboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     emails = domains.select("id", n.alias("domain_id"), _text("info@", F.col("name")).alias("address"))
     links = domains.select(n.alias("person_id"), F.when(F.pmod(n, F.lit(3)) == 0, n).when(F.pmod(n, F.lit(3)) == 1, n + 1).alias("email_id"))
     return people.link_emails(held, links, emails, strict=False).select("id", "email_id")
+
+
+# ---------------------------------------------------------------- more of URLs and admission
+
+
+@register(
+    f"WITH {_DOMAINS_SQL} SELECT id, CASE id % 9 WHEN 0 THEN 'https://' || name || '/c%20d' WHEN 1 THEN 'https://' || name || '/a/b?q=' || id WHEN 2 THEN 'https://other.example/x' WHEN 3 THEN 'http://127.0.0.1/'"
+    " WHEN 4 THEN 'https://' || name || '/~user' WHEN 5 THEN 'https://' || name || '/a/x/z' WHEN 6 THEN 'https://' || name || '/%2Fa' WHEN 7 THEN 'https://' || name || '/a/b' ELSE 'http://' || name || ':8080/' END AS url FROM d"
+)
+def url_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References against a page: relative, of a query only, without scheme, loose IPv4, escapes, dots and ports."""
+    n, name = F.col("id"), F.col("name")
+    href = _cases(
+        n, F.lit("../c d"), _text("?q=", n), F.lit("//OTHER.example:443/x/"), F.lit("http://0x7f.1/"), _text("HTTPS://", F.upper(name), "./%7Euser"), F.lit("./x/./y/../z"), F.lit("/%2fa"), F.lit("#top"), _text("http://", name, ":8080"),
+    )
+    any_port = DEFAULT.with_changes(allowed_ports=None)
+    return _domains(spark, sf_dir).select("id", C.normal_url(href, _text("https://", name, "/a/b"), any_port).alias("url"))
+
+
+@register(
+    f"WITH {_DOMAINS_SQL} SELECT id, CASE id % 7 WHEN 1 THEN 'unsupported_scheme' WHEN 2 THEN 'ssrf_blocked' WHEN 3 THEN 'public_suffix' WHEN 4 THEN 'out_of_scope' WHEN 5 THEN 'non_html_extension' WHEN 6 THEN 'trap_pagination' END AS reason FROM d"
+)
+def url_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stateless reason against a link, and links without one."""
+    n, name = F.col("id"), F.col("name")
+    href = _cases(n, _text("/p/", n), F.lit("ftp://x.example/"), F.lit("http://10.0.0.8/"), F.lit("https://co.uk/"), F.lit("https://elsewhere.test/x"), F.lit("/x.PDF"), F.lit("/l?page=999"))
+    decided = C.decision(href, _text("https://", name, "/"), name, as_of=AS_OF)
+    return _domains(spark, sf_dir).select("id", decided.alias("d")).select("id", "d.reason")
+
+
+_CAPS_SQL = (
+    f"WITH {PAGES_SQL}, k AS (SELECT crawl_id, id, id % 2 AS kind, (id // 2) % 97 AS v FROM p), f AS (SELECT crawl_id, kind, v, min(id) AS first FROM k GROUP BY ALL),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY crawl_id, kind ORDER BY first) AS place FROM f)"
+    " SELECT crawl_id, id AS seq, CASE WHEN kind = 0 AND place > 30 THEN 'trap_query_variants' WHEN kind = 1 AND place > 40 THEN 'trap_calendar' WHEN id > first THEN 'duplicate' END AS reason FROM k JOIN r USING (crawl_id, kind, v)"
+)
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("id")
+    pages = table(spark, sf_dir, "crawl_pages").select("id", "crawl_id").dropDuplicates(["id"])
+    v = F.pmod(F.floor(n / 2), F.lit(97))
+    return pages.withColumn("url", F.when(F.pmod(n, F.lit(2)) == 0, _text("https://e.example/list?v=", v)).otherwise(_text("https://e.example/calendar/", v)))
+
+
+@register(_CAPS_SQL)
+def admission_caps_by_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links beyond the limits of query variants of a path and of URLs of a calendar, by ranks."""
+    return admission.admit_by_windows(_capped(spark, sf_dir), seq="id").select("crawl_id", "seq", "reason")
+
+
+@register(_CAPS_SQL)
+def admission_caps_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in one ordered pass for each crawl."""
+    return admission.admit_in_order(_capped(spark, sf_dir), seq="id").select("crawl_id", "seq", "reason")
+
+
+@register(
+    f"WITH {PAGES_SQL}, k AS (SELECT crawl_id, id, id % 30 AS page, id % 30 >= 20 AND id % 3 = 0 AS nothing FROM p), e AS (SELECT crawl_id, min(page) AS cut FROM k WHERE nothing GROUP BY crawl_id)"
+    " SELECT k.crawl_id, id, page FROM k JOIN e USING (crawl_id) WHERE page >= cut"
+)
+def empty_page_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of listings from the first empty one on."""
+    n = F.col("id")
+    pages = table(spark, sf_dir, "crawl_pages").select("id", "crawl_id").dropDuplicates(["id"]).withColumn("url", _text("https://e.example/l?page=", F.pmod(n, F.lit(30))))
+    empty = pages.filter((F.pmod(n, F.lit(30)) >= 20) & (F.pmod(n, F.lit(3)) == 0))
+    return admission.beyond_empty_pages(pages, empty).select("crawl_id", "id", F.col("page").cast("bigint").alias("page"))
+
+
+@register(
+    f"WITH {_DOMAINS_SQL} SELECT id, CASE id % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'not_found' WHEN 2 THEN 'not_found' WHEN 3 THEN 'forbidden' WHEN 4 THEN 'forbidden' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'server_error' WHEN 7 THEN 'http_error' ELSE 'http_error' END AS status FROM d"
+)
+def discovery_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the answer to a request for robots.txt or a sitemap means."""
+    code = _cases(F.col("id"), *(F.lit(str(c)) for c in (200, 404, 410, 401, 403, 429, 503, 302, 418))).cast("int")
+    return _domains(spark, sf_dir).select("id", crawl.discovery_status(code).alias("status"))
+
+
+@register(
+    f"WITH {_DOMAINS_SQL} SELECT id, CASE id % 7 WHEN 0 THEN 'redirect_not_followed' WHEN 1 THEN 'redirect_error' WHEN 2 THEN 'too_large' WHEN 3 THEN 'http_error' WHEN 4 THEN 'unsupported_content_type' WHEN 5 THEN 'too_large' ELSE 'ok' END AS outcome FROM d"
+)
+def fetch_outcome_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rung of the outcomes of a fetch."""
+    n = F.col("id")
+    status = _cases(n, *(F.lit(str(c)) for c in (301, 302, 200, 404, 200, 200, 204))).cast("int")
+    location, declared = F.when(F.pmod(n, F.lit(7)) == 0, F.lit("/x")), F.when(F.pmod(n, F.lit(7)) == 2, F.lit("99999999"))
+    kind = F.when(F.pmod(n, F.lit(7)) == 4, F.lit("application/pdf")).otherwise(F.lit("text/html; charset=utf-8"))
+    size = F.when(F.pmod(n, F.lit(7)) == 5, F.lit(6 << 20)).otherwise(F.lit(10))
+    return _domains(spark, sf_dir).select("id", crawl.outcome(status, location, declared, kind, size).alias("outcome"))
+
+
+# ---------------------------------------------------------------- more of pages and leads
+
+
+@register(
+    f"WITH {_DOMAINS_SQL} SELECT id, CASE WHEN id % 6 < 4 THEN 'Größe ' || id END AS title, CASE id % 6 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp1252' WHEN 2 THEN 'utf-16' WHEN 3 THEN 'iso8859-1' END AS encoding FROM d"
+)
+def decoded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies by header (the bytes of both Latin encodings are the same here), byte order mark and ``<meta>``; other content and failed fetches are no pages."""
+    n = F.col("id")
+    html = _text("<title>Größe ", n, "</title>")
+    declared = _text("<meta charset=iso-8859-1>", html)
+    k = F.pmod(n, F.lit(6))
+    body = F.when(k == 1, F.encode(html, "ISO-8859-1")).when(k == 2, F.encode(html, "UTF-16")).when(k == 3, F.encode(declared, "ISO-8859-1")).otherwise(F.encode(html, "UTF-8"))
+    kind = F.when(k == 4, F.lit("application/json")).otherwise(F.lit("text/html"))
+    charset = F.when(k == 1, F.lit("windows-1252"))
+    outcome = F.when(k == 5, F.lit("http_error")).otherwise(F.lit("ok"))
+    page = C.parsed_response(outcome, body, kind, charset, F.lit("https://e.example/x"))
+    return _domains(spark, sf_dir).select("id", page.alias("p")).select("id", "p.title", "p.encoding")
+
+
+@register(
+    f"WITH {_DOMAINS_SQL} SELECT id, 'A ' || id || ' & B' AS title, 'Tells ' || label AS description, 'https://' || name || '/' AS canonical_url, '/f.ico' AS favicon_url, 'summary' AS twitter_card,"
+    " 'One' || chr(10) || 'Two ' || id AS text, 1 AS headings, 1 AS images FROM d"
+)
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, metadata, visible text, headings and images of a page with hidden parts."""
+    n, name = F.col("id"), F.col("name")
+    html = _text(
+        "<html><head><title> A ", n, " &amp;  B</title><meta name=Description content='Tells ", F.col("label"), "'><link rel=canonical href='https://", name, "/'><link rel='shortcut icon' href=/f.ico>"
+        "<meta name=twitter:card content=summary><style>x{}</style></head><body><script>no()</script><h1>One</h1><img src=a><p>Two  ", n, "</p><noscript>hidden</noscript></body></html>",
+    )
+    page = _domains(spark, sf_dir).select("id", C.parsed_page(html, F.lit("https://e.example/x")).alias("p"))
+    m = "p.metadata."
+    return page.select("id", "p.title", m + "description", m + "canonical_url", m + "favicon_url", m + "twitter_card", "p.text", F.size("p.headings").alias("headings"), F.col("p.metrics.image_count").cast("int").alias("images"))
+
+
+@register(
+    f"WITH {_DOMAINS_SQL} SELECT id, CASE id % 5 WHEN 0 THEN 'fa' WHEN 1 THEN 'mixed' WHEN 2 THEN 'en' WHEN 3 THEN 'fa' ELSE 'unknown' END AS language,"
+    " CASE id % 5 WHEN 0 THEN 'html_lang' WHEN 1 THEN 'html_lang' WHEN 2 THEN 'content' WHEN 3 THEN 'content' ELSE 'none' END AS source FROM d"
+)
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of pages, declared or told by the text."""
+    n = F.col("id")
+    html = _cases(n, F.lit("<html lang=fa-IR><p>x</p>"), F.lit("<html lang='en, fa'><p>x</p>"), _text("<html lang=und><p>hello there wonderful world</p>"), F.lit("<p>این یک متن فارسی است</p>"), F.lit("<p>abc</p>"))
+    return _domains(spark, sf_dir).select("id", C.parsed_page(html, F.lit("https://e.example/x"))["language"].alias("l")).select("id", "l.language", "l.source")
+
+
+@register(
+    f"WITH {_DOMAINS_SQL} SELECT id, CASE id % 3 WHEN 0 THEN 'a@' || name || '|info@' || name WHEN 1 THEN 'info@' || name ELSE '' END AS emails, CASE id % 3 WHEN 0 THEN '03012345' || (100 + id % 900) WHEN 1 THEN '+4930' || (1000000 + id) ELSE '' END AS phones FROM d"
+)
+def page_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mailboxes and numbers of links and text together; each once."""
+    n, name = F.col("id"), F.col("name")
+    three = (F.lit(100) + F.pmod(n, F.lit(900))).cast("string")
+    html = _cases(
+        n, _text("<a href='mailto:INFO@", name, "?subject=x'>m</a> write a@", name, " or info@", name, " <a href='tel:030-12345-", three, ";ext=1'>t</a>"), _text("<p>info@", name, ", +49 30 ", n + 1000000, "</p>"), F.lit("<p>logo@2x.png 2024-05-01</p>"),
+    )
+    page = _domains(spark, sf_dir).select("id", C.parsed_page(html, F.lit("https://e.example/x")).alias("p"))
+    return page.select("id", F.array_join("p.emails", "|").alias("emails"), F.array_join(F.transform("p.phones", lambda p: p["number"]), "|").alias("phones"))
+
+
+@register(f"WITH {LEADS_SQL}, {FOLD_SQL} SELECT domain, business_name, description, page_type, language, emails, phones, first_seen, last_seen FROM fold")
+def lead_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads written as JSON objects and read again."""
+    return flat(export.read_json(export.lead_json(folded(spark, sf_dir)).select("json"))).select("domain", "business_name", "description", "page_type", "language", "emails", "phones", "first_seen", "last_seen")
+
+
+@register(f"WITH {LEADS_SQL}, {FOLD_SQL} SELECT domain FROM fold WHERE language IN ('en', 'fr') AND email_count > 0 ORDER BY last_seen DESC NULLS LAST, domain LIMIT 40 OFFSET 40")
+def lead_query_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a selection that was written as a dictionary and read again."""
+    held = query.LeadFilter(language=["FR", "en"], has_email=True).to_dict()
+    wanted = query.LeadQuery(query.LeadFilter.from_dict(held), sort_by="last_seen", descending=True, page=2, page_size=40)
+    return wanted.run(folded(spark, sf_dir)).rows.select("domain")

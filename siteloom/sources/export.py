@@ -7,7 +7,7 @@ import io
 import json
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -50,21 +50,57 @@ def _plain(value: object) -> object:
 
 
 def _rows(leads: DataFrame, preserve_order: bool) -> Iterator[dict[str, object]]:
-    """Leads as plain values, one at a time; two of one domain are an error."""
-    ordered = complete(leads).select(*schemas.LEAD_COLUMNS)
+    """Leads as plain values, a partition at a time; two of one domain are an error."""
+    held = complete(leads)
+    twice = held.groupBy("domain").count().filter("count > 1").first()
+    if twice:
+        raise ExportError(f"two leads have the identity {twice['domain']}")
+    ordered = held.select(*schemas.LEAD_COLUMNS)
     ordered = ordered if preserve_order else ordered.orderBy("domain")
-    seen: set[str] = set()
     for row in ordered.toLocalIterator(prefetchPartitions=True):
-        if row["domain"] in seen:
-            raise ExportError(f"two leads have the identity {row['domain']}")
-        seen.add(row["domain"])
         yield {k: _plain(row[k]) for k in JSON_KEYS}
 
 
+def _json_parts(leads: DataFrame, preserve_order: bool) -> Iterator[str]:
+    """The parts of a JSON document, a lead each, so that no more than one is held."""
+    head = json.dumps({"version": VERSION, "count": leads.count(), "leads": []}, ensure_ascii=False, indent=2)
+    opening, closing = head[: -len("]\n}")], "\n  ]\n}\n"
+    first = True
+    for lead in _rows(leads, preserve_order):
+        text = json.dumps(lead, ensure_ascii=False, indent=2).replace("\n", "\n    ")
+        yield f"{opening if first else ','}\n    {text}"
+        first = False
+    yield head + "\n" if first else closing
+
+
+def _csv_parts(leads: DataFrame, preserve_order: bool) -> Iterator[str]:
+    text = io.StringIO(newline="")
+    writer = csv.writer(text, lineterminator="\r\n")
+
+    def line(cells: Iterable[object]) -> str:
+        writer.writerow(cells)
+        made = text.getvalue()
+        text.seek(0)
+        text.truncate()
+        return made
+
+    yield line(CSV_COLUMNS)
+    for lead in _rows(leads, preserve_order):
+        yield line(_cells(lead))
+
+
+def parts(leads: DataFrame, kind: str, *, excel_bom: bool = False, preserve_order: bool = False) -> Iterator[str]:
+    """A document of all leads in parts, by domain unless their order is kept."""
+    if check_format(kind, excel_bom) == "json":
+        yield from _json_parts(leads, preserve_order)
+    else:
+        yield "\ufeff" if excel_bom else ""
+        yield from _csv_parts(leads, preserve_order)
+
+
 def to_json(leads: DataFrame, *, preserve_order: bool = False) -> str:
-    """A document of all leads, by domain unless their order is kept."""
-    held = list(_rows(leads, preserve_order))
-    return json.dumps({"version": VERSION, "count": len(held), "leads": held}, ensure_ascii=False, indent=2) + "\n"
+    """A JSON document of leads that fit into memory; ``write`` needs no more than one of them at a time."""
+    return "".join(_json_parts(leads, preserve_order))
 
 
 def _joined(values: list[str], name: str) -> str:
@@ -86,26 +122,21 @@ def _cells(lead: dict[str, object]) -> list[object]:
 
 def to_csv(leads: DataFrame, *, preserve_order: bool = False) -> str:
     """Leads as CSV with a header; lines end in CR LF, cells are quoted where they must be."""
-    text = io.StringIO(newline="")
-    writer = csv.writer(text, lineterminator="\r\n")
-    writer.writerow(CSV_COLUMNS)
-    writer.writerows(_cells(lead) for lead in _rows(leads, preserve_order))
-    return text.getvalue()
+    return "".join(_csv_parts(leads, preserve_order))
 
 
 def render(leads: DataFrame, kind: str, *, excel_bom: bool = False, preserve_order: bool = False) -> str:
-    if check_format(kind, excel_bom) == "json":
-        return to_json(leads, preserve_order=preserve_order)
-    return ("﻿" if excel_bom else "") + to_csv(leads, preserve_order=preserve_order)
+    return "".join(parts(leads, kind, excel_bom=excel_bom, preserve_order=preserve_order))
 
 
 def write(path: str | os.PathLike, leads: DataFrame, kind: str, *, excel_bom: bool = False, preserve_order: bool = False) -> Path:
-    """Write one file whole or not at all: a failure leaves what was there."""
-    target, content = Path(path), render(leads, kind, excel_bom=excel_bom, preserve_order=preserve_order)
+    """Write one file whole or not at all, lead by lead: a failure leaves what was there."""
+    target = Path(path)
+    check_format(kind, excel_bom)
     handle, temporary = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}-")
     try:
         with os.fdopen(handle, "w", encoding="utf-8", newline="") as file:
-            file.write(content)
+            file.writelines(parts(leads, kind, excel_bom=excel_bom, preserve_order=preserve_order))
         os.replace(temporary, target)
     except BaseException:
         Path(temporary).unlink(missing_ok=True)
