@@ -44,16 +44,20 @@ def discovery_status(status: Column) -> Column:
 
 
 def follow_redirects(starts: DataFrame, hops: DataFrame, *, url: str = "url", location: str = "location", most: int = MOST_REDIRECTS) -> DataFrame:
-    """``(url, final_url, hops, problem)``: where each start ends; ``problem`` is a loop or too many hops.
+    """``(url, final_url, hops, problem)``: where each start ends; ``problem`` is ``loop``, ``too_many``, ``missing_location`` or
+    ``not_http``.
 
-    One join for each hop over rows that still move; ``hops`` has one row for each redirecting URL.
+    One join for each hop over rows that still move; ``hops`` has a row for each redirecting URL, whose target is null
+    where the answer named none. A start whose way ends in a problem stays at the last page that it reached.
     """
-    edges = hops.filter(F.col(location).isNotNull()).groupBy(F.col(url).alias("at")).agg(F.min(location).alias("next"))
+    edges = hops.groupBy(F.col(url).alias("at")).agg(F.min(location).alias("next"), F.lit(True).alias("_moves"))
     state = starts.select(F.col(url).alias("url"), F.col(url).alias("at"), F.array(url).alias("seen"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("problem"))
     for _ in range(most + 1):
         moved = state.join(edges, "at", "left")
         goes = F.col("next").isNotNull() & F.col("problem").isNull()
-        problem = F.when(goes & F.array_contains("seen", F.col("next")), "loop").when(goes & (F.col("hops") >= most), "too_many").otherwise(F.col("problem"))
+        stuck = F.coalesce("_moves", F.lit(False)) & F.col("problem").isNull()
+        problem = F.when(stuck & F.col("next").isNull(), "missing_location").when(goes & F.col("next").rlike("(?i)^(?!https?:)[a-z][a-z0-9+.-]*:"), "not_http")
+        problem = problem.when(goes & F.array_contains("seen", F.col("next")), "loop").when(goes & (F.col("hops") >= most), "too_many").otherwise(F.col("problem"))
         step = moved.withColumn("_p", problem)
         on = F.col("next").isNotNull() & F.col("_p").isNull()
         state = step.select(

@@ -139,6 +139,20 @@ def aggregate(leads: DataFrame) -> DataFrame:
     )
 
 
+def aggregate_site(leads: DataFrame, domain: str) -> DataFrame:
+    """The one lead of a site; a lead of another domain fails the query."""
+    own = F.when(F.col("domain") == domain, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a lead of another domain: "), F.coalesce("domain", F.lit("none")))).cast("boolean"))
+    return aggregate(leads.filter(own))
+
+
+def checked_identities(leads: DataFrame, *, key: str = "key", digest: str = "digest", strict: bool = True) -> DataFrame:
+    """Stored leads whose ``key`` and ``digest`` are those of their domain; others fail the query, or are left out unless ``strict``."""
+    good = F.coalesce((F.col(key) == C.lead_key("domain")) & (F.col(digest) == C.lead_digest("domain")), F.lit(False))
+    if not strict:
+        return leads.filter(good)
+    return leads.filter(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("identity of another lead: "), F.coalesce(key, F.lit("none")))).cast("boolean")))
+
+
 def fold(leads: DataFrame, *, sequence: str = "seq") -> DataFrame:
     """One lead for each domain, merged in order of ``sequence``: what is stored stays, open fields are filled.
 

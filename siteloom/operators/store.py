@@ -43,6 +43,34 @@ def updated(df: DataFrame, changes: DataFrame, *, key: str = "id", keep_old: boo
     return joined.select(*(value(c) for c in df.columns))
 
 
+def mark_fetched(pages: DataFrame, results: DataFrame) -> DataFrame:
+    """``pages`` with what was fetched: ``results`` has ``id``, ``http_status``, ``content_type``, ``fetched_at`` and ``chain``, the
+    URLs from the page's own to the last. The number of redirects and the final URL come of the chain."""
+    hops = F.greatest(F.size("chain") - 1, F.lit(0))
+    given = results.select("id", F.lit("fetched").alias("status"), "http_status", "content_type", "fetched_at", F.element_at("chain", -1).alias("final_url"), hops.alias("redirect_count"))
+    return updated(pages, given)
+
+
+def mark_failed(pages: DataFrame, results: DataFrame) -> DataFrame:
+    """``pages`` with what failed: ``results`` has ``id``, ``error_message``, ``fetched_at`` and ``http_status``, null where no answer came."""
+    return updated(pages, results.select("id", F.lit("failed").alias("status"), "error_message", "fetched_at", "http_status"))
+
+
+def mark_crawled(domains: DataFrame, crawls: DataFrame) -> DataFrame:
+    """``domains`` with the time at which they were crawled last: that of ``crawls``, unless it is earlier than the stored one."""
+    latest = crawls.filter("finished_at IS NOT NULL").groupBy(F.col("domain_id").alias("id")).agg(F.max("finished_at").alias("_at"))
+    joined = domains.join(latest, "id", "left")
+    return joined.select(*(F.greatest("last_crawled_at", "_at").alias(c) if c == "last_crawled_at" else F.col(c) for c in domains.columns))
+
+
+def add_pages_crawled(crawls: DataFrame, pages: DataFrame) -> DataFrame:
+    """``crawls`` with the pages that were fetched since counted in; each page of ``pages`` counts once."""
+    more = pages.select("crawl_id", "id").distinct().groupBy(F.col("crawl_id").alias("id")).agg(F.count("*").alias("_more"))
+    joined = crawls.join(more, "id", "left")
+    total = (F.coalesce("pages_crawled", F.lit(0)) + F.coalesce("_more", F.lit(0))).cast("int")
+    return joined.select(*(total.alias(c) if c == "pages_crawled" else F.col(c) for c in crawls.columns))
+
+
 def deleted(df: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     """``df`` without the rows named in ``gone``. For rows that refer to them, pass the referring column as key."""
     return df.join(gone.select(key).distinct(), key, "left_anti")
