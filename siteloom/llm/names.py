@@ -33,6 +33,8 @@ LEAST = THRESHOLD / 2
 LETTERS = 4
 #: Most elements of a name that may share just one with another.
 MOST_SHORT = 4
+#: Names that have an element up to which it is a key by itself; a key's names can't be more. Beyond, two elements are.
+FEW = 200
 #: Names and pairs a worker remembers; only speed depends on it.
 REMEMBERED = 200_000
 #: Standard errors by which the sites of a common word exceed that share (p < 0.001), so a few sites make no word common; buckets of the rarity counts.
@@ -237,8 +239,9 @@ def _run_together(words: tuple[str, ...]) -> set[str]:
 def keys_of(name: Name, rarity: np.ndarray, common: frozenset[str], known: bool) -> list[int]:
     """Join keys of a name. Names that are as similar as the threshold and don't differ in trade share one.
 
-    Between long names a pair of elements of the rare beginning makes a key, between names whose words
-    allow no slip their letters. Names of different kinds, and short ones, meet by single elements; these
+    The rarest element that two long names share is a key by itself if few names have it; else the second is no rarer,
+    and both are among the frequent elements of either rare beginning, of which each pair makes a key. Where nothing was
+    counted no element is known to be rare. Between names whose words allow no slip their letters are keys. Names of different kinds, and short ones, meet by single elements; these
     keys have the kinds of both, so long names don't meet by them.
     A business's name has keys with each word of its trade and without; a candidate's with its trade, if
     it gives one.
@@ -247,14 +250,21 @@ def keys_of(name: Name, rarity: np.ndarray, common: frozenset[str], known: bool)
     size = len(held)
     # Besides the threshold, no match lacks more than a few elements, so long names have a short beginning, too.
     shared = max(math.ceil(LEAST * size), size - MOST_CHANGED)
-    ordered = sorted(held, key=lambda t: (rarity[zlib.crc32(t.encode()) % BUCKETS], t))
+
+    def counted(element: str) -> int:
+        return int(rarity[zlib.crc32(element.encode()) % BUCKETS])
+
+    ordered = sorted(held, key=lambda t: (counted(t), t))
     kind = "whole" if all(_allowed(w) == 0 for w in name.rare) else "short" if size <= MOST_SHORT else "long"
     bases: list[int] = []
     for other in ("whole", "short", "long"):
         if kind == other == "whole":
             bases += [_code(letters) for letters in _run_together(name.rare)]
         elif kind == other == "long":
-            bases += [_code(*sorted(pair)) for pair in combinations(ordered[: size - shared + 2], 2)]
+            # Elements come in order of their counts, so those that few names have are the first.
+            few = sum(counted(t) <= FEW for t in ordered) if counted(ordered[-1]) else 0
+            bases += [_code("long", t) for t in ordered[: min(few, size - shared + 1)]]
+            bases += [_code(*sorted(pair)) for pair in combinations(ordered[few : size - shared + 2], 2)]
         # A short name is similar to none of more than its elements over the threshold.
         elif {kind, other} != {"short", "long"} or size <= MOST_SHORT / LEAST:
             kinds = (kind, other) if known else (other, kind)

@@ -67,3 +67,23 @@ def test_spellings_of_one_business_make_no_trade(spark):
     assert "sawmill" in common
     found = {(r.site, r.candidate_id) for r in names.link_names(leads, candidates).collect()}
     assert found == {("hot.com", 1), ("s0.com", 2)}
+
+
+def test_rare_and_frequent_elements_meet(monkeypatch):
+    """Names share a key wherever the bound between rare and frequent elements lies among their counts."""
+    rng = random.Random(3)
+    stems = ["".join(rng.choice("aeiou" if i % 2 else "bdkmrtvz") for i in range(n)) for n in (7, 8, 9, 10) for _ in range(15)]
+    known = [f"{a} {b}" for a, b in zip(stems, stems[7:])]
+    typed = [n[:k] + "q" + n[k + 1 :] for n in known for k in (2, 5)] + [n[:4] + n[5:-1] for n in known]
+    counts = np.random.default_rng(2).integers(1, 400, names.BUCKETS)
+    a, b = ([names.parse(n, frozenset()) for n in x] for x in (known, typed))
+    for few in (0, 50, 200, 1000):
+        monkeypatch.setattr(names, "FEW", few)
+        keys_a, keys_b = ([set(names.keys_of(n, counts, frozenset(), k)) for n in x] for x, k in ((a, True), (b, False)))
+        linked = 0
+        for (x, kx), (y, ky) in itertools.product(zip(a, keys_a), zip(b, keys_b)):
+            xs, ys = names.elements_of(x.rare), names.elements_of(y.rare)
+            if len(xs & ys) >= names.LEAST * len(xs | ys) and names.similarity(y, x, lambda w: 1.0) > 0:
+                linked += 1
+                assert kx & ky, (few, x, y)
+        assert linked > 100
