@@ -73,13 +73,18 @@ MONTHS = frozenset(str(m) for m in range(1, 13)) | frozenset(f"{m:02}" for m in
 
 #: Marks that lengthen or vowel Arabic letters.
 _MARKS = dict.fromkeys([0x640, *range(0x64B, 0x660), 0x670])
+_SPELLED = {**ARABIC_FORMS, **_MARKS}
+_ARABIC = re.compile("[\u0600-\u06ff]")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def plain_words(text: str) -> list[str]:
     """Lower-case words; a Persian plural that stands apart joins its word."""
+    words = _WORD.findall((text.translate(_SPELLED) if _ARABIC.search(text) else text).lower())
+    if PLURALS.isdisjoint(words):
+        return words
     found: list[str] = []
-    for word in _WORD.findall(text.translate(ARABIC_FORMS).lower().translate(_MARKS)):
+    for word in words:
         if word in PLURALS and found:
             found[-1] += word
         else:
@@ -110,7 +115,7 @@ class PhraseTree:
         """Phrases that occur as often as they must; occurrences of one that touch count once."""
         counts: dict[str, tuple[int, int]] = {}
         says: dict[str, Phrase] = {}
-        for start in range(len(words)):
+        for start in [i for i, word in enumerate(words) if word in self.root]:
             node, at = self.root, start
             while at < len(words) and (node := node.get(words[at])) is not None:
                 at += 1
