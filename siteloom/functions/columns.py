@@ -138,10 +138,13 @@ def link(url: Column | str, base: Column | str | None = None, seed: Column | str
     def kernel(raw: str | None, base_: str | None, seed_: str | None) -> dict[str, object] | None:
         if raw is None:
             return None
-        found = decisions.evaluate(raw, base_, seed=seed_, rules=rules, as_of=as_of)
+        try:
+            n = urls.normalise(raw, base_, rules)
+        except Rejected as error:
+            return decisions.Decision(False, raw, None, error.reason, error.detail)._asdict()
+        found = decisions.judge(n, raw, seed=seed_, rules=rules, as_of=as_of)
         if not found.allowed:
             return found._asdict()
-        n = urls.normalise(found.url, rules=rules)
         traits = traps.Traits(n)
         path, variant = traits.variant
         calendar = traits.signature if traits.calendar_years is not None else None

@@ -153,15 +153,18 @@ def admit_by_windows(
     url: str = "url",
     base: str | None = None,
     seed: str | None = None,
+    repeated: bool = False,
 ) -> DataFrame:
     """The same decisions as ``admit_in_order`` by ranks, so that a crawl of any size is spread over all tasks.
 
     Each link is read once, where it lies; only links of one page, the variants of one path and the URLs of one
     calendar come together. Where a link that one limit refuses would have counted for the other, or for its page,
     ranks can't tell the order's result: crawls with such links, and only those, go through the ordered pass.
-    ``seq`` is unique within a crawl.
+    ``seq`` is unique within a crawl, or with ``repeated`` rows that have it again are the same and count once.
     """
-    return decide(cut_lineage(read_links(links, rules=rules, as_of=as_of, crawl_id=crawl_id, seq=seq, url=url, base=base, seed=seed)), rules=rules, as_of=as_of)
+    read = read_links(links, rules=rules, as_of=as_of, crawl_id=crawl_id, seq=seq, url=url, base=base, seed=seed)
+    # Links are read where they lie, before any shuffle; what was read is then made distinct.
+    return decide(cut_lineage(read.dropDuplicates(["crawl_id", "seq"]) if repeated else read), rules=rules, as_of=as_of)
 
 
 def read_links(
@@ -199,11 +202,12 @@ def decide(rows: DataFrame, *, rules: UrlRules = DEFAULT, as_of: date | None = N
     mixed = again.select("crawl_id", "key").join(capped.select("crawl_id", "key"), ["crawl_id", "key"], "left_semi")
     shared = capped.filter("reason = 'trap_calendar' AND variant <> ''")
     unclear = cut_lineage(mixed.select("crawl_id").unionByName(shared.select("crawl_id")).distinct())
-    again = again.withColumn("reason", F.lit("duplicate"))
-    clear = first.unionByName(again).unionByName(refused).join(unclear, "crawl_id", "left_anti")
-    ordered = admit_in_order(rows.join(unclear, "crawl_id", "left_semi"), rules=rules, as_of=as_of, url="raw", base="base", seed="seed")
     columns = ["crawl_id", "seq", "raw", "url", "reason"]
-    return clear.select(*columns).unionByName(ordered.select(*columns)).withColumn("allowed", F.col("reason").isNull())
+    decided = first.unionByName(again.withColumn("reason", F.lit("duplicate"))).unionByName(refused).select(*columns)
+    if unclear.limit(1).count():
+        ordered = admit_in_order(rows.join(unclear, "crawl_id", "left_semi"), rules=rules, as_of=as_of, url="raw", base="base", seed="seed")
+        decided = decided.join(unclear, "crawl_id", "left_anti").unionByName(ordered.select(*columns))
+    return decided.withColumn("allowed", F.col("reason").isNull())
 
 
 def first_of_pages(links: DataFrame, *, rules: UrlRules = DEFAULT, crawl_id: str = "crawl_id", seq: str = "seq", url: str = "url") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import columns as C
 from siteloom.functions.rules import UrlRules
 from siteloom.operators import admission, crawl, leads, query, store
-from siteloom.session import cut_lineage, shared_folder, table
+from siteloom.session import cut_lineage, shared_folder, spread, table
 from siteloom.sources import export
 from siteloom.sources import pages as sources
 from siteloom.sources.robots import robots
@@ -272,7 +272,8 @@ def url_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT crawl_id, CASE WHEN page > 50 THEN 'trap_pagination' ELSE 'duplicate' END AS reason, count(*) AS urls FROM k WHERE page > 50 OR r > 1 GROUP BY ALL"
 )
 def gate_rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return admission.rejections(admission.admit_by_windows(_pages(spark, sf_dir, "crawl_id", "url"), seq="id", as_of=AS_OF))
+    pages = spread(table(spark, sf_dir, "crawl_pages").select("id", "crawl_id", "url"))
+    return admission.rejections(admission.admit_by_windows(pages, seq="id", as_of=AS_OF, repeated=True))
 
 
 # ---------------------------------------------------------------- fetches and crawls

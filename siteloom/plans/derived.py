@@ -14,7 +14,7 @@ from siteloom.operators import admission, crawl, people, query, store
 from siteloom.plans.catalogue import FOLD_SQL, LEADS_SQL, PAGES_SQL, URL_SQL, register
 from siteloom.plans.catalogue import _flat as flat
 from siteloom.plans.catalogue import _folded as folded
-from siteloom.session import table
+from siteloom.session import spread, table
 from siteloom.sources import export
 
 AS_OF = date(2026, 1, 1)
@@ -117,8 +117,8 @@ def canonical_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def url_admission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision on every crawled URL, by ranks."""
-    pages = table(spark, sf_dir, "crawl_pages").select("id", "crawl_id", "url").dropDuplicates(["id"])
-    return admission.admit_by_windows(pages, seq="id", as_of=AS_OF).select("crawl_id", "seq", "url", "reason")
+    pages = spread(table(spark, sf_dir, "crawl_pages").select("id", "crawl_id", "url"))
+    return admission.admit_by_windows(pages, seq="id", as_of=AS_OF, repeated=True).select("crawl_id", "seq", "url", "reason")
 
 
 # ---------------------------------------------------------------- pages
