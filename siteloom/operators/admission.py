@@ -115,7 +115,10 @@ def admit_in_order(
     empty = F.lit(None).cast("string")
     columns = [F.col(crawl_id).cast("long").alias("crawl_id"), F.col(seq).cast("long").alias("seq"), F.col(url).alias("raw")]
     columns += [(F.col(base) if base else empty).alias("base"), (F.col(seed) if seed else empty).alias("seed")]
-    ordered = links.select(*columns).repartition("crawl_id").sortWithinPartitions("crawl_id", "seq")
+    # The number is given, as judging a link costs far more than its bytes tell.
+    spark = links.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = links.select(*columns).repartition(parts, "crawl_id").sortWithinPartitions("crawl_id", "seq")
 
     def pass_through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, gate = object(), Gate()

@@ -410,6 +410,7 @@ def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _html(documents: DataFrame) -> DataFrame:
     """Documents as pages: a title, a heading, the text and a link."""
+    documents = spread(documents.select("doc_id", "url", "site", "text"))
     text = F.coalesce(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), F.lit(""))
     head = F.concat(F.lit('<html><head><title>About us - '), "site", F.lit("</title><meta name=description content=Page></head><body><h1>Our team</h1><p>"))
     return documents.select("doc_id", "url", F.concat(head, text, F.lit('</p><a href="/contact">Contact</a> <a href="mailto:hello@'), "site", F.lit('">mail</a></body></html>')).alias("html"))
@@ -451,7 +452,7 @@ def contact_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def contact_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(C.phones_in("text")).alias("p"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(C.phones_in("text")).alias("p"))
     return found.select("doc_id", "p.number", "p.raw")
 
 
@@ -462,7 +463,7 @@ def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def content_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", C.content_language("text").alias("language"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", C.content_language("text").alias("language"))
 
 
 @_query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\s\v\x1c-\x1f\x{85}\p{Z}]+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]'))) AS words FROM documents WHERE text IS NOT NULL")
