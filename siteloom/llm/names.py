@@ -1,6 +1,8 @@
 """Linking names that people typed to the businesses they denote (problem 5).
 
-Names are joined by set similarity of the letter quadruples of their rare words: quadruples are ordered
+Names of one or two rare words meet by whole words: the distinct words of candidates are joined once with those
+of businesses that they may be slips of, and names by the words found, with the trade where it is given; a word meets two run together by pieces that
+slips leave alone. Other names are joined by set similarity of the letter quadruples of their rare words: quadruples are ordered
 by global rarity, and two names can only reach the threshold if the rare beginnings of their sets share
 two of them, so pairs of quadruples are the join keys, with the trade where it is given. Each pair of names is then verified by a soft token
 similarity in which words may differ by a slip, be joined, swapped, shortened or be nicknames, and rare
@@ -13,6 +15,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from typing import NamedTuple
 
@@ -39,6 +42,12 @@ FEW = 200
 REMEMBERED = 200_000
 #: Standard errors by which the sites of a common word exceed that share (p < 0.001), so a few sites make no word common; buckets of the rarity counts.
 SURE, BUCKETS = 3.29, 1 << 16
+#: Buckets of the keys of names that don't meet by words, and letters of the stems of trades.
+KEY_BUCKETS, STEM = 1 << 22, 6
+#: Letters of a word up to which what deletions leave of it are its keys; longer ones have pieces.
+LONG = 12
+#: Words of a name up to which each may be another's trade or not.
+MOST_TOLD = 6
 
 #: Legal forms, words between names, endings of words for trades in several languages, given names with their short forms.
 LEGAL = frozenset("inc incorporated ltd limited llc llp plc gmbh ag kg ohg ug co company corp corporation sa sas sarl srl sl bv nv ab oy as spa".split())
@@ -66,11 +75,17 @@ class Name(NamedTuple):
     legal: tuple[str, ...]
 
 
+@lru_cache(8)
 def _trades(common: frozenset[str]) -> frozenset[str]:
     """Words that the corpus shows to be shared by many businesses; they say what one does, not who it is."""
     return common - GIVEN.keys() - LEGAL - BETWEEN
 
 
+@lru_cache(REMEMBERED)
+def _trade_like(word: str, common: frozenset[str]) -> bool:
+    return word in _trades(common) or word.endswith(TRADE_ENDINGS) and len(word) > 5 or any(_shortens(word, t) for t in _trades(common))
+
+
 def parse(text: str | None, common: frozenset[str]) -> Name | None:
     """The name, or None where nothing says who it is. Abbreviated trades and given names count as such."""
     words = words_of(text) if text else []
@@ -82,7 +97,6 @@ def parse(text: str | None, common: frozenset[str]) -> Name | None:
         else:
             merged.append("\0" + w if len(w) == 1 else w)
     rare, given, trade, legal = [], [], [], []
-    trades = _trades(common)
     for k, w in enumerate(merged):
         if w.startswith("\0"):
             w = w[1:]
@@ -97,7 +111,7 @@ def parse(text: str | None, common: frozenset[str]) -> Name | None:
             continue
         elif w in GIVEN or w in _LONG:
             given.append(w)
-        elif w in trades or w.endswith(TRADE_ENDINGS) and len(w) > 5 or any(_shortens(w, t) for t in trades):
+        elif _trade_like(w, common):
             trade.append(w)
         else:
             rare.append(w)
@@ -246,6 +260,11 @@ def keys_of(name: Name, rarity: np.ndarray, common: frozenset[str], known: bool)
     A business's name has keys with each word of its trade and without; a candidate's with its trade, if
     it gives one.
     """
+    return [b ^ t for b in bases_of(name, rarity, known) for t in _trade_keys(name, common, known)]
+
+
+def bases_of(name: Name, rarity: np.ndarray, known: bool) -> list[int]:
+    """The keys of ``keys_of`` without the trade."""
     held = elements_of(name.rare)
     size = len(held)
     # Besides the threshold, no match lacks more than a few elements, so long names have a short beginning, too.
@@ -269,17 +288,130 @@ def keys_of(name: Name, rarity: np.ndarray, common: frozenset[str], known: bool)
         elif {kind, other} != {"short", "long"} or size <= MOST_SHORT / LEAST:
             kinds = (kind, other) if known else (other, kind)
             bases += [_code(*kinds, t) for t in ordered[: size - math.ceil(LEAST * size) + 1]]
+    return bases
+
+
+@lru_cache(REMEMBERED)
+def _full(word: str, common: frozenset[str]) -> tuple[str, ...]:
+    """Words of trades that ``word`` is or abbreviates."""
+    trades = _trades(common)
+    return tuple(t for t in trades if t.startswith(word) or word not in trades and len(word) < 5 and abbreviates(word, t)) or (word,)
+
+
+def _trade_keys(name: Name, common: frozenset[str], known: bool) -> list[int]:
     trades = sorted({t for w in name.trade[: None if known else 1] for t in _full(w, common)})
     if known:
         trades.append("")
-    return [b ^ _code("trade", t) for b in bases for t in (trades or [""])]
+    return [_code("trade", t) for t in (trades or [""])]
 
 
-def _full(word: str, common: frozenset[str]) -> list[str]:
-    """Words of trades that ``word`` is or abbreviates."""
-    trades = _trades(common)
-    longer = [t for t in trades if t.startswith(word) or word not in trades and len(word) < 5 and abbreviates(word, t)]
-    return longer or [word]
+def stems_of(word: str) -> list[str]:
+    """Beginnings of a word that is a trade by its ending; words that may shorten it have one of them."""
+    return [word[:n] for n in (1, *range(3, STEM + 1))] if len(word) > 5 and word.endswith(TRADE_ENDINGS) else []
+
+
+def forms_of(name: Name, common: frozenset[str], stems: frozenset[str]) -> list[tuple[str, ...]]:
+    """The rare words of a name, and those left where others are taken for another name's trade; none if the name is too long to say."""
+    told = [w for w in dict.fromkeys(name.rare) if _trade_like(w, common) or len(w) > 2 and (w[:STEM] in stems or len(w) < 5 and w[0] in stems)]
+    if told and len(name.rare) > MOST_TOLD:
+        return []
+    kept = (tuple(w for w in name.rare if w not in moved) for n in range(len(told) + 1) for moved in combinations(told, n))
+    return list(dict.fromkeys(tuple(sorted(x)) for x in kept if x))
+
+
+def deletions(word: str, most: int) -> set[str]:
+    """A word without up to ``most`` of its letters; words as many slips apart share one."""
+    found = {word}
+    for _ in range(most):
+        found |= {w[:i] + w[i + 1 :] for w in found for i in range(len(w))}
+    return found
+
+
+@lru_cache(1024)
+def _pieces(length: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+    """Slips that a text of some length may have, and one more pieces of it; a letter lies between any two, so a slip changes one at most."""
+    most = _allowed(" " * length)
+    bounds = [(length - most) * k // (most + 1) for k in range(most + 2)]
+    return most, tuple((a + k, b + k) for k, (a, b) in enumerate(zip(bounds, bounds[1:])))
+
+
+@lru_cache(1024)
+def _salts(length: int, start: int) -> tuple[int, int]:
+    return zlib.crc32(f"{length} {start}".encode()), zlib.crc32(f"{start} {length}".encode())
+
+
+def _piece(letters: bytes, salts: tuple[int, int]) -> int:
+    return (zlib.crc32(letters, salts[0]) << 31) ^ zlib.crc32(letters, salts[1])
+
+
+@lru_cache(REMEMBERED)
+def piece_keys(text: str) -> np.ndarray:
+    letters, length = text.encode("utf-32-le"), len(text)
+    return np.array([_piece(letters[4 * a : 4 * b], _salts(length, a)) for a, b in _pieces(length)[1]], np.int64)
+
+
+@lru_cache(REMEMBERED)
+def probe_keys(word: str, least: int = 2) -> np.ndarray:
+    """Keys of a word, one of which each text of ``least`` or more letters has that it may be a misspelling of."""
+    found, letters, size = [], word.encode("utf-32-le"), len(word)
+    for length in range(max(least, size - 2), size + 3):
+        most, pieces = _pieces(length)
+        longer = size - length
+        for a, b in pieces:
+            salts = _salts(length, a)
+            for moved in range(-most, most + 1):
+                if abs(moved) + abs(longer - moved) <= most and a + moved >= 0 and b + moved <= size:
+                    found.append(_piece(letters[4 * (a + moved) : 4 * (b + moved)], salts))
+    return np.array(found, np.int64)
+
+
+def word_keys(word: str, known: bool) -> list[int]:
+    """Keys that a word of a business shares with each that may be it by slips: what deletions leave, or pieces of long words."""
+    if known:
+        return [_code(t) for t in deletions(word, _allowed(word))] if len(word) <= LONG else [*piece_keys(word)]
+    # The slips that any word of businesses allows whose length can become this one.
+    most = max(m for n in range(3) if (m := _allowed(word + " " * n)) >= n or not n)
+    short = [_code(t) for t in deletions(word, most)] if len(word) <= LONG + 2 else []
+    return [*short, *probe_keys(word, LONG + 1)]
+
+
+def _together(words: tuple[str, ...]) -> set[str]:
+    return {t for x, y in combinations(words, 2) for t in (x + y, y + x)}
+
+
+@lru_cache(4)
+def _whole(size: int, known: bool) -> int:
+    return _code(str(size), "known" if known else "typed")
+
+
+def joined_keys(form: tuple[str, ...], known: bool) -> np.ndarray:
+    """Keys of which one word shares one with two that were run together to it, in either order, and a word of two with two of three or four."""
+    bases = [np.zeros(0, np.int64)]
+    for size in (1, 2):
+        # The side that has the whole word; those with more words have any two of them run together.
+        if len(form) == size:
+            bases += [probe_keys(w) ^ _whole(size, known) for w in form]
+        elif size == 1 and len(form) == 2 or size == 2 and len(form) in (3, 4):
+            bases += [piece_keys(t) ^ _whole(size, not known) for t in _together(form)]
+    return np.concatenate(bases)
+
+
+def _near_words(typed: DataFrame, known: DataFrame) -> DataFrame:
+    """``(x, y)``: each word typed with the words of businesses that it may be, itself among them."""
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([a == b or slips(a, b, 2) <= _allowed(b) for a, b in zip(x, y)], dtype=bool)
+
+    def keyed(words: DataFrame, name: str, known: bool) -> DataFrame:
+        @F.pandas_udf("array<long>")
+        def keys(values: pd.Series) -> pd.Series:
+            return values.map(lambda w: word_keys(w, known))
+
+        return spread(words).withColumn("keys", keys.asNondeterministic()("w")).select(F.col("w").alias(name), F.explode("keys").alias("key"))
+
+    pairs = keyed(typed, "x", False).join(keyed(known, "y", True).hint("merge"), "key").select("x", "y").distinct()
+    return cut_lineage(pairs.filter("x = y OR levenshtein(x, y, 4) >= 0").filter(near("x", "y")))
 
 
 def site_of(website: Column) -> Column:
@@ -289,8 +421,8 @@ def site_of(website: Column) -> Column:
     return F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")).when(F.size(labels) == 1, labels.getItem(0))
 
 
-def _common_words(names: DataFrame, own: DataFrame) -> tuple[frozenset[str], np.ndarray, int]:
-    """Words in the names of a large share of sites, rarity of set elements by bucket, number of names.
+def _common_words(names: DataFrame, own: DataFrame) -> tuple[frozenset[str], np.ndarray, int, frozenset[str]]:
+    """Words in the names of a large share of sites, rarity of set elements by bucket, number of names, stems of trades.
 
     A word counts once for each site, so the many spellings of one business make none of its words common.
     By their share, the common words are at most a few thousand, however many names there are.
@@ -301,23 +433,25 @@ def _common_words(names: DataFrame, own: DataFrame) -> tuple[frozenset[str], np.
             yield pd.DataFrame([(s, w) for s, name in zip(batch["site"], batch["name"]) for w in set(words_of(name))], columns=["site", "word"])
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        element_counts = np.zeros(BUCKETS, np.int64)
+        element_counts, stems = np.zeros(BUCKETS, np.int64), set()
         for batch in batches:
             for name in batch["name"]:
                 for w in set(words_of(name)):
+                    stems.update(stems_of(w))
                     for e in elements_of((w,)):
                         element_counts[zlib.crc32(e.encode()) % BUCKETS] += 1
         at = np.flatnonzero(element_counts)
-        yield pd.DataFrame({"at": at, "n": element_counts[at]})
+        yield pd.DataFrame({"at": [*at, *[-1] * len(stems)], "stem": [*[""] * len(at), *stems], "n": [*element_counts[at], *[0] * len(stems)]})
 
     total = names.count()
     least = COMMON * own.select("site").distinct().count()
     sites = own.select("site", "name").mapInPandas(of_sites, "site string, word string").distinct().groupBy("word").agg(F.count("*").alias("n"))
     common = frozenset(r["word"] for r in sites.filter(F.col("n") - SURE * F.sqrt("n") >= least).collect())
     rarity = np.zeros(BUCKETS, np.int64)
-    rows = names.mapInPandas(elements, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    rarity[rows["at"].to_numpy(np.int64)] = rows["n"]
-    return common, rarity, total
+    rows = names.mapInPandas(elements, "at long, stem string, n long").groupBy("at", "stem").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows[rows["at"] >= 0]
+    rarity[counts["at"].to_numpy(np.int64)] = counts["n"]
+    return common, rarity, total, frozenset(rows["stem"]) - {""}
 
 
 def link_names(leads: DataFrame, candidates: DataFrame, *, website: str = "website", name: str = "business_name", candidate_id: str = "candidate_id", candidate: str = "name") -> DataFrame:
@@ -330,37 +464,98 @@ def link_names(leads: DataFrame, candidates: DataFrame, *, website: str = "websi
     own = leads.select(site_of(F.col(website)).alias("site"), F.col(name).alias("name")).filter("site IS NOT NULL AND length(trim(name)) > 0").distinct()
     others = candidates.select(F.col(candidate_id).alias("candidate_id"), F.col(candidate).alias("name")).filter("length(trim(name)) > 0")
     names = cut_lineage(own.select("name", F.lit(True).alias("known")).unionByName(others.select("name", F.lit(False).alias("known"))).distinct())
-    common, rarity, total = _common_words(names.select("name").distinct(), own)
-    shared = names.sparkSession.sparkContext.broadcast((common, rarity))
+    common, rarity, total, stems = _common_words(names.select("name").distinct(), own)
+    shared = names.sparkSession.sparkContext.broadcast((common, rarity, stems))
 
-    @F.pandas_udf("keys array<long>, letters string, most int")
+    @F.pandas_udf("forms array<struct<w1: string, w2: string>>, keys array<long>, letters string, most int, trades array<long>, hard boolean")
     def prepared(values: pd.Series, known: pd.Series) -> pd.DataFrame:
-        held, counts = shared.value
+        held, counts, stems = shared.value
         rows = []
         for v, k in zip(values, known):
-            p = parse(v, held)
-            rows.append((sorted(set(keys_of(p, counts, held, bool(k)))), *letters_of(p)) if p else ([], "", 0))
-        return pd.DataFrame(rows, columns=["keys", "letters", "most"], index=values.index)
+            p, k = parse(v, held), bool(k)
+            if not p:
+                rows.append(([], [], "", 0, [], False))
+                continue
+            forms, trades = forms_of(p, held, stems), _trade_keys(p, held, k)
+            keys = {x for f in forms if len(f) != 2 for x in joined_keys(f, k).tolist()}
+            if not forms or len(p.rare) > 2:
+                keys.update(bases_of(p, counts, k))
+            words = [{"w1": f[0], "w2": f[1] if len(f) == 2 else None} for f in forms if len(f) <= 2]
+            rows.append((words, sorted(keys), *letters_of(p), trades, not forms))
+        return pd.DataFrame(rows, columns=["forms", "keys", "letters", "most", "trades", "hard"], index=values.index)
 
     named = spread(names).withColumn("id", F.xxhash64("name"))
     # Functions are marked so that filters on their results don't run them once more below.
-
-    def keyed(kind: str) -> DataFrame:
-        rows = named.filter(kind).withColumn("p", prepared.asNondeterministic()("name", "known"))
-        return rows.select("id", "p.letters", "p.most", F.explode("p.keys").alias("key"))
-
-    known = keyed("known").toDF("known_id", "known_letters", "known_most", "key")
+    parsed = cut_lineage(named.withColumn("p", prepared.asNondeterministic()("name", "known")).select("id", "name", "known", "p.*").filter("size(forms) > 0 OR size(keys) > 0"))
+    keyed = parsed.select("known", F.explode("keys").alias("key"))
+    buckets: dict[bool, np.ndarray] = {side: np.zeros(KEY_BUCKETS, bool) for side in (False, True)}
+    at = keyed.select("known", F.pmod("key", F.lit(KEY_BUCKETS)).cast("int").alias("at")).distinct().groupBy("known").agg(F.collect_list("at").alias("at"))
+    for r in at.toPandas().itertuples():
+        buckets[r.known][np.asarray(r.at, np.int64)] = True
+    hard = {r.known: r.hard for r in parsed.groupBy("known").agg(F.max("hard").alias("hard")).collect()}
+    whole = {(size, side): _whole(size, side) for size in (1, 2) for side in (False, True)}
+    other_keys = names.sparkSession.sparkContext.broadcast(buckets)
+
+    def held_by_others(keys: np.ndarray, known: bool) -> np.ndarray:
+        return np.unique(keys[other_keys.value[not known][keys % KEY_BUCKETS]])
+
+    @F.pandas_udf("array<long>")
+    def of_two(first: pd.Series, second: pd.Series, known: pd.Series) -> pd.Series:
+        held, sides = other_keys.value, known.to_numpy(bool)
+        parts = [x for a, b in zip(first, second) for x in (probe_keys(a), probe_keys(b), piece_keys(a + b), piece_keys(b + a))]
+        sizes = np.array([len(x) for x in parts], np.int64).reshape(-1, 4)
+        # The word is the whole on its own side, and its pieces lie on the other's.
+        which = np.where(sides[:, None], [[whole[2, True], whole[2, True], whole[1, False], whole[1, False]]], [[whole[2, False], whole[2, False], whole[1, True], whole[1, True]]])
+        keys = np.concatenate(parts) ^ np.repeat(which.ravel(), sizes.ravel())
+        rows = np.repeat(np.arange(len(first)), sizes.sum(1))
+        kept = np.where(np.repeat(sides, sizes.sum(1)), held[False][keys % KEY_BUCKETS], held[True][keys % KEY_BUCKETS])
+        return pd.Series(np.split(keys[kept], np.cumsum(np.bincount(rows[kept], minlength=len(first)))[:-1]), index=first.index, dtype=object)
+
+    @F.pandas_udf("array<long>")
+    def of_any(values: pd.Series, known: pd.Series) -> pd.Series:
+        held, counts, _ = shared.value
+        rows = [held_by_others(np.array(bases_of(p, counts, bool(k)), np.int64), bool(k)) if len((p := parse(v, held)).rare) <= 2 else [] for v, k in zip(values, known)]
+        return pd.Series(rows, index=values.index, dtype=object)
+
+    sides = ("id", "letters", "most", "key")
+    plain = parsed.select("known", "id", "letters", "most", "trades", F.inline("forms"))
+    # Keys of names of two words are kept where the other side has them.
+    two_words = plain.filter("w2 IS NOT NULL").withColumn("keys", of_two.asNondeterministic()("w1", "w2", "known"))
+    kept = ("known", "id", "letters", "most", "trades", "keys")
+    more = parsed.select(*kept).unionByName(two_words.select(*kept))
+    for side in (False, True):
+        # Names too long for their words meet those of the other side by quadruples.
+        if hard.get(side):
+            facing = parsed.filter("known" if not side else "NOT known").withColumn("keys", of_any.asNondeterministic()("name", "known"))
+            more = more.unionByName(facing.select(*kept))
+    more = more.select("known", "id", "letters", "most", "trades", F.explode("keys").alias("key"))
+    more = cut_lineage(more.withColumn("trade", F.explode("trades")).select("known", "id", "letters", "most", F.col("key").bitwiseXOR(F.col("trade")).alias("key")))
+    plain = plain.withColumn("trade", F.explode("trades")).drop("trades")
+
+    def words(side: str) -> DataFrame:
+        rows = plain.filter(side)
+        return rows.select(F.col("w1").alias("w")).unionByName(rows.filter("w2 IS NOT NULL").select(F.col("w2").alias("w"))).distinct()
+
+    near_words = _near_words(words("NOT known"), words("known"))
+    first, second = near_words.toDF("w1", "y1"), near_words.toDF("w2", "y2")
+    one = plain.filter("NOT known").join(first, "w1")
+    two = one.filter("w2 IS NOT NULL").join(second, "w2").withColumn("key", F.xxhash64("trade", F.least("y1", "y2"), F.greatest("y1", "y2")))
+    one = one.filter("w2 IS NULL").withColumn("key", F.xxhash64("trade", "y1"))
+    own_words = plain.filter("known").withColumn("key", F.when(F.isnull("w2"), F.xxhash64("trade", "w1")).otherwise(F.xxhash64("trade", F.least("w1", "w2"), F.greatest("w1", "w2"))))
+
+    known = more.filter("known").select(*sides).unionByName(own_words.select(*sides)).toDF("known_id", "known_letters", "known_most", "key")
+    typed = more.filter("NOT known").select(*sides).unionByName(one.select(*sides)).unionByName(two.select(*sides))
     # Names a few slips apart have almost the same letters, so most chance candidates end here, before any Python.
     apart, single = F.levenshtein("letters", "known_letters", 2 * MOST_SLIPS), (F.col("most") >= 0) & (F.col("known_most") >= 0)
     near = (apart >= 0) & (apart <= F.when(single, F.col("known_most")).otherwise(2 * MOST_SLIPS))
-    # A hundred keys come of one name, which estimates of sizes don't see; so no side is broadcast by them.
-    ids = keyed("NOT known").join(known.hint("merge"), "key").filter(near).select("id", "known_id").distinct()
+    # Many keys come of one name, which estimates of sizes don't see; so no side is broadcast by them.
+    ids = typed.join(known.hint("merge"), "key").filter(near).select("id", "known_id").distinct()
     texts, known_texts = named.filter("NOT known").select("id", "name"), named.filter("known").select(F.col("id").alias("known_id"), F.col("name").alias("known_name"))
     pairs = ids.join(texts, "id").join(known_texts, "known_id").select("name", "known_name")
 
     @F.pandas_udf("double")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        held, counts = shared.value
+        held, counts, _ = shared.value
         parsed: dict[str, tuple[Name, frozenset[str]]] = {}
         known_pairs: dict[tuple[str, str], float] = {}
 

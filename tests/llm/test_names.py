@@ -87,3 +87,57 @@ def test_rare_and_frequent_elements_meet(monkeypatch):
                 linked += 1
                 assert kx & ky, (few, x, y)
         assert linked > 100
+
+
+def test_words_and_those_run_together_share_keys():
+    """Names that meet by words, and words with two of a longer name, against a comparison of all."""
+    rng = random.Random(4)
+
+    def slipped(word, times):
+        for _ in range(times):
+            k = rng.randrange(len(word))
+            word = rng.choice([word[:k] + word[k + 1 :], word[:k] + rng.choice("abx") + word[k:], word[:k] + rng.choice("abq") + word[k + 1 :], word[:k] + word[k : k + 2][::-1] + word[k + 2 :]]) or "x"
+        return word
+
+    stems = ["".join(rng.choice("aeiou" if i % 2 else "bdk") for i in range(n)) for n in range(1, 20) for _ in range(4)]
+    words = sorted({slipped(w, t) for w in stems for t in (0, 1, 2, 2)})
+    typed, known = ({w: set(names.word_keys(w, k)) for w in words} for k in (False, True))
+    near = [(x, y) for x in words for y in words if x == y or names.slips(x, y, 2) <= names._allowed(y)]
+    assert len(near) > len(words)
+    assert not [(x, y) for x, y in near if not typed[x] & known[y]]
+    # Chance brings few other pairs together.
+    assert sum(bool(typed[x] & known[y]) for x in words for y in words) < 3 * len(near)
+    linked = 0
+    for y, z in [(rng.choice(stems), rng.choice(stems)) for _ in range(1500)]:
+        whole = slipped(rng.choice((y + z, z + y)), rng.choice((0, 1, 2, 2)))
+        if min(names.slips(whole, y + z, 2), names.slips(whole, z + y, 2)) <= min(2, names._allowed(y + z)):
+            linked += 1
+            for k in (True, False):
+                for one, many in (((whole,), (y, z)), ((whole, "foo"), ("bar", y, "foo", z))):
+                    assert {*names.joined_keys(one, k)} & {*names.joined_keys(many, not k)}, (one, many)
+    assert linked > 1000
+
+
+def test_names_of_two_words_have_few_keys():
+    """Keys of a name don't grow with the table, and chance letters bring no long names together."""
+    assert len(names.word_keys("zorbinalto", True)) < 60
+    assert len(names.joined_keys(("zorbinalto", "quixtarn"), True)) < 100
+    assert not {*names.word_keys("zorbinalto", False)} & {*names.word_keys("xezorbupe", True)}
+
+
+def test_links_of_all_kinds_of_names(spark):
+    """Swapped, joined, split and longer names, and words that another name has for its trade."""
+    known = ["Zorbinal Quixtarn", "Mandelkro Pextum Bakery", "Lubrikdorf", "Vandorsti Hekmulta Krovizan", "Trelgona Ferry Boating"]
+    typed = ["Quixtarm Zorbinla", "Zorbinalquixtarn", "Pextum Mandlekro", "Lubrik Dorf", "Vandorstihekmulta Krovizan", "Hekmulta Krovizn Vandorsti", "Trelgona Boat", "Zorbinal Mandelkro"]
+    leads = spark.createDataFrame([(f"https://s{i}.com/", n) for i, n in enumerate(known)], "website string, business_name string")
+    candidates = spark.createDataFrame(list(enumerate(typed)), "candidate_id long, name string")
+    found = {(r.site, r.candidate_id) for r in names.link_names(leads, candidates).collect()}
+    wanted = set()
+    for i, k in enumerate(known):
+        for j, t in enumerate(typed):
+            x, y = (names.parse(n, frozenset()) for n in (t, k))
+            xs, ys = names.elements_of(x.rare), names.elements_of(y.rare)
+            if len(xs & ys) >= names.LEAST * len(xs | ys) and names.similarity(x, y, lambda w: 1.0) > 0:
+                wanted.add((f"s{i}.com", j))
+    assert len(wanted) >= 6
+    assert found == wanted
