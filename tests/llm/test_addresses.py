@@ -58,3 +58,32 @@ def test_parts_hold_every_pair_of_two_slips(spark):
     near = [(a, b) for a, b in itertools.combinations(words, 2) if addresses.one_word_apart(a, b)]
     assert len(near) > 100
     assert not [x for x in near if not parts[x[0]] & parts[x[1]]]
+
+
+def test_one_line_addresses_are_read_for_what_is_missing(monkeypatch):
+    read = []
+    whole = addresses._formatted
+    monkeypatch.setattr(addresses, "_formatted", lambda text: read.append(text) or whole(text))
+    line = "Saint Wolthu 28458, Kurktamlum Platz 6, A-11111"
+    assert addresses.parse("Kurktamlum Platz 6", "Saint Wolthu", None, line) == ("6", ["kurktamlum", "platz"], "saint wolthu", whole(line)[2])
+    assert addresses.parse("Kurktamlum Platz 6", "Saint Wolthu", "12345", line)[3] == "12345"
+    assert not read
+    assert addresses.parse("Kurktamlum Platz 6", None, None, line) is not None and read == [line]
+
+
+def test_crowded_places_are_rewritten_alike(spark, monkeypatch):
+    rng = random.Random(7)
+    names = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(12)]
+    data, k = [], 0
+    for name in names:
+        for spelled in (name, name, name[:3] + "x" + name[4:], name[:1] + name[2] + name[1] + name[3:]):
+            data.append((k, f"12 {spelled} Platz", "Brogodus", None, "76945", None, None))
+            k += 1
+    df = spark.createDataFrame(data, "address_id long, street string, city string, region string, postal_code string, country string, formatted string")
+    found = rows(addresses.same_location(addresses.locate(df)))
+    assert len(found) >= 6 * len(names)
+    monkeypatch.setattr(addresses, "COMPARED", 1)
+    assert rows(addresses.same_location(addresses.locate(df))) == found
+    words = sorted({w for d in data for w in (d[1].split()[1], d[1][:4], d[1][3:5])} | {""})
+    parts = {r.w: set(r.p) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", addresses._thirds(F.col("w")).alias("p")).collect()}
+    assert parts == {w: addresses.thirds(w) for w in words}
